@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import fingerprints, mixing, packing, quality_classifier, quality_rules, token_files
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_packing": packing.op3_packing,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_token_files": token_files.op6_token_files,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -35,43 +35,53 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     lanes = -(-n // BLOCK)
-    x = np.zeros((lanes, BLOCK), np.uint64)
-    x.reshape(-1)[:n] = ids
+    ids = ids.astype(np.uint64)
     length = np.full(lanes, BLOCK)
     length[-1] = n - (lanes - 1) * BLOCK
-    # how many ids a word that starts at each id can hold
-    best = np.full((lanes, BLOCK), ESCAPE, np.int8)
-    left = length[:, None] - np.arange(BLOCK)[None, :]
+    width = bit_widths(ids)
+    left = (length[:, None] - np.arange(BLOCK)[None, :]).reshape(-1)[:n]
+    # the selector of a word that would start at each id: the one that holds most
+    best = np.full(n, ESCAPE, np.uint8)
     for s in sorted(SELECTORS, reverse=True):
         count, bits = SELECTORS[s]
-        wide = x >= np.uint64(1 << bits)
-        run = np.zeros((lanes, BLOCK + 1), np.int32)
-        np.cumsum(wide, axis=1, out=run[:, 1:])
-        fits = np.zeros((lanes, BLOCK), bool)
-        fits[:, : BLOCK - count + 1] = run[:, count:] == run[:, : BLOCK - count + 1]
-        best[fits & (left >= count)] = s
-    counts = np.zeros(16, np.int64)
-    widths = np.zeros(16, np.int64)
-    for s, (count, bits) in SELECTORS.items():
-        counts[s], widths[s] = count, bits
-    counts[ESCAPE], widths[ESCAPE] = 1, 60
-    at = np.zeros(lanes, np.int64)
-    lane = np.arange(lanes)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    padded = np.concatenate([x, np.zeros((lanes, 60), np.uint64)], axis=1)
-    while len(lane):
-        s = best[lane, at[lane]].astype(np.int64)
-        word = s.astype(np.uint64) << np.uint64(60)
-        for k in np.unique(s):
-            m = np.flatnonzero(s == k)
-            for j in range(counts[k]):
-                word[m] |= padded[lane[m], at[lane[m]] + j] << np.uint64(j * widths[k])
-        out.append((lane, word))
-        at[lane] += counts[s]
-        lane = lane[at[lane] < length[lane]]
-    lanes_all = np.concatenate([a for a, _ in out])
-    order = np.argsort(lanes_all, kind="stable")
-    return np.concatenate([w for _, w in out])[order], np.bincount(lanes_all, minlength=lanes).astype(np.uint32)
+        fits = blocks.window_min(width, count, np.maximum) <= bits
+        fits &= left[: len(fits)] >= count
+        best[: len(fits)][fits] = s
+    counts = np.ones(16, np.int64)
+    for s, (count, _) in SELECTORS.items():
+        counts[s] = count
+    # all blocks step from word to word side by side
+    at, end = np.arange(lanes) * BLOCK, np.arange(lanes) * BLOCK + length
+    steps = []
+    while len(at):
+        steps.append(at)
+        at = at + counts[best[at]]
+        going = at < end
+        at, end = at[going], end[going]
+    start = np.sort(np.concatenate(steps))
+    selector = best[start].astype(np.int64)
+    words = selector.astype(np.uint64) << np.uint64(60)
+    for s in np.unique(selector):
+        m = np.flatnonzero(selector == s)
+        count, bits = SELECTORS.get(int(s), (1, 60))
+        body = words[m]
+        for j in range(count):
+            body |= ids[start[m] + j] << np.uint64(j * bits)
+        words[m] = body
+    return words, np.bincount(start // BLOCK, minlength=lanes).astype(np.uint32)
+
+
+def bit_widths(ids: np.ndarray) -> np.ndarray:
+    """Bits that each id needs, at most 60."""
+    out = np.zeros(len(ids), np.uint8)
+    small = ids < len(_WIDTHS)
+    out[small] = _WIDTHS[ids[small].astype(np.int64)]
+    if not small.all():
+        out[~small] = np.array([int(x).bit_length() for x in ids[~small].tolist()], np.uint8)
+    return out
+
+
+_WIDTHS = np.ceil(np.log2(np.arange(1 << 17) + 1)).astype(np.uint8)
 
 
 def decode(words: np.ndarray, n: int) -> np.ndarray:
@@ -96,7 +106,7 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, spaced: bool, chunk_ids: int = 1 << 18) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, spaced: bool, chunk_ids: int = 1 << 20) -> None:
     """Encode every text (null: empty) and write its ids, ``end_id`` appended, in ascending doc_id order.
 
     Shards are ranges of doc_id, so no task holds more than its range; within a

@@ -14,6 +14,18 @@ CACHE_WORDS = 600_000
 #: A blank among other white space, where the byte-level pattern groups runs.
 _RUN = re.compile(rb"(?:^|[\s\x80-\xff]) (?:$|[\s\xc2\xe1\xe2\xe3])")
 _CUT = re.compile(rb"(?<=[!-~])(?= )")
+#: Letters up to U+024F, then signs but the apostrophe, which begins contractions.
+_CORE = re.compile(rb"((?:[A-Za-z]|[\xc3-\xc9][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 def vocabulary(name: str) -> str:
@@ -42,7 +54,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str, spaced: bool) -> WordEncoder:
@@ -71,18 +86,55 @@ class WordEncoder:
             piece = piece[1:] if piece[:1] == b"\0" else b" " + piece
         return piece.decode("utf-8", "replace")
 
+    def _fill(self, missing: set[bytes]) -> None:
+        """Encode pieces that are not known yet."""
+        if len(self.known) + len(missing) > CACHE_WORDS:
+            # frequent pieces come back from the older half as they are met
+            self.older, self.known = self.known, {}
+        known, older, odd = self.known, self.older, []
+        for p in missing:
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+            elif (m := _CORE.fullmatch(p)) and (ids := self._plain(*m.groups())) is not None:
+                known[p] = ids
+            else:
+                odd.append(p)
+        for a in range(0, len(odd), 20_000):
+            some = odd[a : a + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([self._whole(p) for p in some], add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _plain(self, core: bytes, tail: bytes) -> bytes | None:
+        """Ids of Latin letters and the signs after them: each is one pre-token, given to the library's model.
+
+        None if the letters are not letters after all.
+        """
+        parts = self.parts
+        if (a := parts.get(core)) is None:
+            word = core.decode("utf-8", "replace")
+            if not word.isalpha():
+                return None
+            raw = b" " + core if self.spaced else word.lower().encode()
+            if len(parts) > CACHE_WORDS:
+                parts.clear()
+            a = parts[core] = self._model(raw)
+        if not tail:
+            return a
+        if (b := parts.get(tail)) is None:
+            b = parts[tail] = self._model(tail)
+        return a + b
+
+    def _model(self, raw: bytes) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(raw.decode("latin1").translate(_BYTE_CHARS))], "<u4").tobytes()
+
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
-        missing = list(set().union(*cut).difference(self.known))
+        missing = set().union(*cut).difference(self.known)
         if missing:
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known = {}
-                missing = list(set().union(*cut))
-            for a in range(0, len(missing), 20_000):
-                some = missing[a : a + 20_000]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast([self._whole(p) for p in some], add_special_tokens=False), strict=True):
-                    self.known[p] = np.array(e.ids, "<u4").tobytes()
+            self._fill(missing)
+            if self.older and (missing := set().union(*cut).difference(self.known)):
+                self._fill(missing)
         get, tail = self.known.__getitem__, int(end).to_bytes(4, "little")
         return [b"".join(map(get, c)) + tail for c in cut]
 
