@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files
+from . import fingerprints, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_packing": packing.op3_packing,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_token_files": token_files.op6_token_files,
     "op9_mixing": mixing.op9_mixing,
