@@ -24,9 +24,13 @@ KEEP = 0.5
 ROUNDS = 40
 
 
-def measures(docs: DataFrame, *more: str) -> DataFrame:
-    """Per row: words, code points in words, symbols, repeated lines, words in repeated 3-word windows, and a few shares."""
-    t = work.texts(docs, *more)
+def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Per row: words, code points in words, symbols, repeated lines, words in repeated 3-word windows, and a few shares.
+
+    whole: with ``row``, a struct of all columns of ``docs``, whatever their names.
+    """
+    more = ["row"] if whole else []
+    t = work.texts(docs, *([F.struct(*docs.columns).alias("row")] if whole else []))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(SOLID))
     t = t.select("*", F.array_remove(F.split("text", SPACE), "").alias("w"), lines.alias("lines"))
     # windows of three words as (hash, place), in the order of hashes: equal ones are neighbours
@@ -105,10 +109,10 @@ def accuracies(voted: DataFrame, rules: int, rounds: int = ROUNDS) -> DataFrame:
     return row.select("p", F.expr(f"aggregate(sequence(1, {rounds}), {start}, (a, r) -> {update})").alias("a")).select(F.explode(F.expr(weighed)).alias("x")).select(F.col("x.votes").alias("votes"), F.col("x.q").alias("p_good"))
 
 
-def judge(docs: DataFrame, *more: str) -> DataFrame:
+def judge(docs: DataFrame, whole: bool = False) -> DataFrame:
     """measures() of every row with base_failed, votes, p_good (null where the base checks failed) and kept."""
     rules = votes()
-    measured = measures(docs, *more).withColumn("votes", F.array(*rules)).withColumn("base_failed", base_failed())
+    measured = measures(docs, whole).withColumn("votes", F.array(*rules)).withColumn("base_failed", base_failed())
     measured = work.written(measured, "quality")
     chances = accuracies(measured.filter(~F.col("base_failed")), len(rules))
     # at most 3 ** rules rows: a proven bound

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import fingerprints, mixing, ngram_join, packing, passage_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_token_files": token_files.op6_token_files,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_passage_dedup": passage_dedup.op8_passage_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }

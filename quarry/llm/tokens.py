@@ -127,14 +127,27 @@ class WordEncoder:
     def _model(self, raw: bytes) -> bytes:
         return np.array([t.id for t in self.model.tokenize(raw.decode("latin1").translate(_BYTE_CHARS))], "<u4").tobytes()
 
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        missing = set().union(*cut).difference(self.known)
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece."""
+        missing = set(pieces).difference(self.known)
         if missing:
             self._fill(missing)
-            if self.older and (missing := set().union(*cut).difference(self.known)):
+            if missing := set(pieces).difference(self.known):  # the older half had them
                 self._fill(missing)
+        return list(map(self.known.__getitem__, pieces))
+
+    def learn(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Encode what is new in some texts, all at once; their pieces."""
+        cut = [self.pieces(t) for t in texts]
+        pieces = set().union(*cut)
+        for _ in range(2):  # a second time if making room dropped some
+            if missing := pieces.difference(self.known):
+                self._fill(missing)
+        return cut
+
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        cut = self.learn(texts)
         get, tail = self.known.__getitem__, int(end).to_bytes(4, "little")
         return [b"".join(map(get, c)) + tail for c in cut]
 
