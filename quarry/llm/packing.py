@@ -106,8 +106,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool) ->
         for s in blocks.slices(batches):
             ids = s.column("doc_id")
             rows = []
-            for i, raw in enumerate(encoder.encode([s.text(i) for i in range(len(s.off) - 1)], end_id)):
-                n = len(raw) // 4
+            flat, counts = encoder.encode_rows(s.buf, s.off, end_id)
+            flat, end = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+            for i, n in enumerate(counts.tolist()):
+                raw = flat[end[i] - 4 * n : end[i]]
                 for a in range(0, n, SEQUENCE):
                     length = min(SEQUENCE, n - a)
                     cls = FULL if length == SEQUENCE else -(-length // UNIT)

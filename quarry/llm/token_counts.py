@@ -42,7 +42,7 @@ class PieceTree:
         pieces = self.encoder.pieces(text)
         ids = self.encoder.ids_of(pieces)
         # a piece stands for itself after a mark, or for itself after a blank
-        size = np.array([len(p) - 1 if p[:1] == b"\0" else len(p) + 1 for p in pieces], np.int64)
+        size = np.array([len(p) - 1 if p[:1] == tokens.MARK else len(p) + 1 for p in pieces], np.int64)
         return size, np.array([len(x) // 4 for x in ids], np.int64), len(pieces)
 
     @property
@@ -101,7 +101,6 @@ def count_with_edits(docs: DataFrame, edits: Column, vocabulary: str, spaced: bo
     def run(batches):
         encoder = tokens.WordEncoder.of(vocabulary, spaced)
         for s in blocks.slices(batches):
-            encoder.learn([s.text(i) for i in range(len(s.off) - 1)])
             rows = []
             for i, (doc_id, changes) in enumerate(zip(s.rows.column("doc_id").to_pylist(), s.rows.column("edits").to_pylist(), strict=True)):
                 text = s.text(i)

@@ -117,15 +117,16 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     def run(batches):
         shard, k = TaskContext.get().partitionId(), 0
         encoder = tokens.WordEncoder.of(vocabulary, spaced)
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         doc_ids: list[np.ndarray] = []
         held = 0
 
         def chunk():
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             words, per_block = encode(flat)
             own = np.concatenate(doc_ids)
-            n = np.array([len(x) // 4 for x in ids], "<u4")
+            n = np.concatenate(counts).astype("<u4")
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([int(own[0])]), pa.array([len(flat)], pa.int64())]
                 + [blocks.binary_column([x.tobytes()]) for x in (own.astype("<i8"), n, per_block.astype("<u4"), words.astype("<u8"))],
@@ -133,13 +134,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
             )
 
         for s in blocks.slices(batches):
-            got = encoder.encode([s.text(i) for i in range(len(s.off) - 1)], end_id)
-            ids += got
+            got, n = encoder.encode_rows(s.buf, s.off, end_id)
+            ids.append(got)
+            counts.append(n)
             doc_ids.append(s.column("doc_id").astype(np.int64))
-            held += sum(map(len, got)) // 4
+            held += len(got)
             if held >= chunk_ids:
                 yield chunk()
-                ids, doc_ids, held, k = [], [], 0, k + 1
+                ids, counts, doc_ids, held, k = [], [], [], 0, k + 1
         if ids:
             yield chunk()
 

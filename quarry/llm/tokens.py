@@ -5,14 +5,18 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 
+from . import blocks
+
 #: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 
 #: A blank among other white space, where the byte-level pattern groups runs.
 _RUN = re.compile(rb"(?:^|[\s\x80-\xff]) (?:$|[\s\xc2\xe1\xe2\xe3])")
+MARK = b"\xff"
 _CUT = re.compile(rb"(?<=[!-~])(?= )")
 #: Letters up to U+024F, then signs but the apostrophe, which begins contractions.
 _CORE = re.compile(rb"((?:[A-Za-z]|[\xc3-\xc9][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
@@ -55,8 +59,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known = Known(self)
         self.parts: dict[bytes, bytes] = {}
 
     @classmethod
@@ -72,38 +75,19 @@ class WordEncoder:
             return text.split()
         if not text:
             return []
-        if b"\0" in text:  # the mark of a piece without a blank before it
-            return [b"\0" + text]
+        # a byte that no text holds marks a piece without a blank before it
         if _RUN.search(text):
             first, *rest = _CUT.split(text)
-            return [b"\0" + first] + [x[1:] for x in rest]
+            return [MARK + first] + [x[1:] for x in rest]
         first, *rest = text.split(b" ")
-        return ([b"\0" + first] if first else []) + rest
+        return ([MARK + first] if first else []) + rest
 
     def _whole(self, piece: bytes) -> str:
         """The text that a piece stands for."""
         if self.spaced:
-            piece = piece[1:] if piece[:1] == b"\0" else b" " + piece
+            piece = piece[1:] if piece[:1] == MARK else b" " + piece
         return piece.decode("utf-8", "replace")
 
-    def _fill(self, missing: set[bytes]) -> None:
-        """Encode pieces that are not known yet."""
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            # frequent pieces come back from the older half as they are met
-            self.older, self.known = self.known, {}
-        known, older, odd = self.known, self.older, []
-        for p in missing:
-            if (ids := older.get(p)) is not None:
-                known[p] = ids
-            elif (m := _CORE.fullmatch(p)) and (ids := self._plain(*m.groups())) is not None:
-                known[p] = ids
-            else:
-                odd.append(p)
-        for a in range(0, len(odd), 20_000):
-            some = odd[a : a + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([self._whole(p) for p in some], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-
     def _plain(self, core: bytes, tail: bytes) -> bytes | None:
         """Ids of Latin letters and the signs after them: each is one pre-token, given to the library's model.
 
@@ -114,7 +98,9 @@ class WordEncoder:
             word = core.decode("utf-8", "replace")
             if not word.isalpha():
                 return None
-            raw = b" " + core if self.spaced else word.lower().encode()
+            if not self.spaced and not (word := word.lower()).isalpha():
+                return None
+            raw = b" " + core if self.spaced else word.encode()
             if len(parts) > CACHE_WORDS:
                 parts.clear()
             a = parts[core] = self._model(raw)
@@ -125,31 +111,107 @@ class WordEncoder:
         return a + b
 
     def _model(self, raw: bytes) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(raw.decode("latin1").translate(_BYTE_CHARS))], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(raw.decode("latin1").translate(_BYTE_CHARS))]).tobytes()
+
+    def ids_of_piece(self, piece: bytes) -> bytes:
+        """The ids of a piece that is not known yet."""
+        if (m := _CORE.fullmatch(piece)) and (ids := self._plain(*m.groups())) is not None:
+            return ids
+        return array("I", self.tokenizer.encode(self._whole(piece), add_special_tokens=False).ids).tobytes()
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each piece."""
-        missing = set(pieces).difference(self.known)
-        if missing:
-            self._fill(missing)
-            if missing := set(pieces).difference(self.known):  # the older half had them
-                self._fill(missing)
+        """The ids of each piece, as little-endian unsigned 32-bit integers."""
         return list(map(self.known.__getitem__, pieces))
 
-    def learn(self, texts: list[bytes]) -> list[list[bytes]]:
-        """Encode what is new in some texts, all at once; their pieces."""
-        cut = [self.pieces(t) for t in texts]
-        pieces = set().union(*cut)
-        for _ in range(2):  # a second time if making room dropped some
-            if missing := pieces.difference(self.known):
-                self._fill(missing)
-        return cut
-
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        cut = self.learn(texts)
-        get, tail = self.known.__getitem__, int(end).to_bytes(4, "little")
-        return [b"".join(map(get, c)) + tail for c in cut]
+    def encode_rows(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end`` after each, and how many each text has.
+
+        Words that repeat in the slice are looked up once; ids of words, of
+        white space that is more than a blank (byte-level vocabularies) and end
+        ids are then laid out by place.
+        """
+        data = buf.tobytes()
+        if not self.spaced:
+            parts = self.encode([data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], end)
+            return np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
+        start, stop, first = blocks.words(buf, off)
+        rows = len(off) - 1
+        n = np.diff(first)
+        row = np.repeat(np.arange(rows), n)
+        h = blocks.spans_hash(blocks.prefix_hashes(buf), start, stop) + (stop - start).astype(np.uint64) if len(start) else np.zeros(0, np.uint64)
+        blank = (buf[start - 1] == 32) & (start > off[row]) if len(start) else np.zeros(0, bool)
+        h = h * np.uint64(2) + blank
+        _, where, of = np.unique(blocks.mix(h), return_index=True, return_inverse=True)
+        get = self.known.__getitem__
+        spans = zip(start[where].tolist(), stop[where].tolist(), blank[where].tolist(), strict=True)
+        pool = [get(data[x:y] if z else MARK + data[x:y]) for x, y, z in spans]
+        items = [(start, of)]
+        at, which, slow = self._gaps(data, buf, off, start, stop, first, row, pool)
+        if slow:  # a text where other white space meets the cuts is encoded whole
+            fine = ~np.isin(row, slow)
+            items = [(start[fine], of[fine])]
+            keep = ~np.isin(np.searchsorted(off, at, "right") - 1, slow)
+            at, which = at[keep], which[keep]
+            items.append((off[slow], np.arange(len(pool), len(pool) + len(slow))))
+            pool += [array("I", self.tokenizer.encode(data[off[i] : off[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() for i in slow]
+        items.append((at, which))
+        # ends come after all else of their row
+        items.append((off[1:], np.full(rows, len(pool))))
+        pool.append(int(end).to_bytes(4, "little"))
+        place = np.concatenate([2 * x for x, _ in items[:-1]] + [2 * off[1:] - 1])
+        order = np.argsort(place, kind="stable")
+        which = np.concatenate([w for _, w in items])[order]
+        size = np.array([len(x) // 4 for x in pool], np.int64)
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(pool), "<u4")
+        length = size[which]
+        done = np.cumsum(length)
+        ids = flat[np.repeat(begin[which] - (done - length), length) + np.arange(int(done[-1]) if len(done) else 0)]
+        ends = done[which == len(pool) - 1]
+        return ids, np.diff(np.r_[0, ends])
+
+    def _gaps(self, data, buf, off, start, stop, first, row, pool):
+        """Where white space has ids of its own, the place of those in ``pool``, and the rows to encode whole."""
+        before = np.where(np.r_[True, row[1:] != row[:-1]], off[row], np.r_[0, stop[:-1]]) if len(start) else start
+        odd = np.flatnonzero((start > before) & ~((start - before == 1) & (buf[start - 1] == 32))) if len(start) else start
+        last = np.where(np.diff(first) > 0, np.r_[stop, 0][np.maximum(first[1:] - 1, 0)], off[:-1])
+        tail = np.flatnonzero(last < off[1:])
+        at, which, slow, seen = [], [], set(), {}
+        exotic = self._exotic
+        for x, y, i, final in [*zip(before[odd].tolist(), start[odd].tolist(), row[odd].tolist(), [False] * len(odd), strict=True), *zip(last[tail].tolist(), off[1:][tail].tolist(), tail.tolist(), [True] * len(tail), strict=True)]:
+            g = data[x:y]
+            if exotic(data[max(int(off[i]), x - 3) : x]) or not final and data[y] in (0xC2, 0xE1, 0xE2, 0xE3):
+                slow.add(i)
+            key = (g, final)
+            if key not in seen:
+                parts = [g] if final else [g[:-1], b"" if g[-1:] == b" " else g[-1:]]
+                ids = b"".join(array("I", self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).tobytes() for p in parts if p)
+                seen[key] = len(pool)
+                pool.append(ids)
+            at.append(x)
+            which.append(seen[key])
+        return np.array(at, np.int64), np.array(which, np.int64), sorted(slow)
+
+    @staticmethod
+    def _exotic(edge: bytes) -> bool:
+        """Whether a text may end in white space beyond ASCII."""
+        return len(edge) >= 2 and edge[-2] == 0xC2 or len(edge) >= 3 and edge[-3] in (0xE1, 0xE2, 0xE3)
+
+
+class Known(dict):
+    """Ids of the pieces met so far; when full, frequent ones come back from the older half."""
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            ids = self.encoder.ids_of_piece(piece)
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 def crc(ids: bytes) -> int:
