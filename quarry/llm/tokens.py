@@ -123,6 +123,11 @@ class WordEncoder:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
         return list(map(self.known.__getitem__, pieces))
 
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        get, tail = self.known.__getitem__, int(end).to_bytes(4, "little")
+        return [b"".join(map(get, self.pieces(t))) + tail for t in texts]
+
     def encode_rows(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, ``end`` after each, and how many each text has.
 
