@@ -44,9 +44,9 @@ def doc_totals(spark, sf_dir):
     return parts(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("chunk").cast("long")).alias("chars"), F.sum(T.estimate_tokens(F.col("chunk"))).alias("tokens"))
 
 
-@query(f"WITH {CHUNKS}, {LIBRARY_SQL} SELECT c.doc_id, CAST(i AS INT) AS chunk_order, title, source, length(chunk) AS n FROM chunks c JOIN lib USING (doc_id) WHERE status = 'completed' AND source IN ('src1', 'src2')")
+@query(f"WITH {CHUNKS}, {LIBRARY_SQL} SELECT c.doc_id, CAST(i AS INT) AS chunk_order, title, source, length(chunk) AS n FROM chunks c JOIN lib USING (doc_id) WHERE status = 'completed' AND source IN ('src5', 'src6')")
 def chunk_doc_join(spark, sf_dir):
-    lib = library(spark, sf_dir).filter((F.col("status") == "completed") & F.col("source").isin("src1", "src2")).select("doc_id", "title", "source")
+    lib = library(spark, sf_dir).filter((F.col("status") == "completed") & F.col("source").isin("src5", "src6")).select("doc_id", "title", "source")
     return parts(spark, sf_dir).join(lib, "doc_id").select("doc_id", "chunk_order", "title", "source", F.length("chunk").cast("long").alias("n"))
 
 

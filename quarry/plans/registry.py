@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import retrieval  # noqa: F401
+    from . import chat, chunks, housekeeping, relational, retrieval, texts, web  # noqa: F401
 
 
 load()
