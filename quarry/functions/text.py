@@ -115,7 +115,8 @@ def overlap_tail(text: Column, n: int) -> Column:
 def parse_relevance(reply: Column) -> Column:
     """The first word as a number from 0 to 10; 5 if it is none."""
     first = F.element_at(F.split(F.split(trim_ws(reply), r"\s+")[0], "/"), 1)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), first.try_cast("double"))), F.lit(5.0))
+    number = F.when(first.rlike(r"^[+-]?[0-9.]+$"), first.try_cast("double"))
+    return F.when(number.isNull(), 5.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)))
 
 
 def citations(response: Column) -> Column:

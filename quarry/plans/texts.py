@@ -104,7 +104,7 @@ def parse_expansions(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN turn || '/10 good' WHEN 1 THEN '12' WHEN 2 THEN '-1 x' ELSE text END AS reply FROM conversations)
-SELECT conv_id, turn, coalesce(greatest(0.0, least(10.0, TRY_CAST(string_split(regexp_split_to_array({TRIM.format('reply')}, '\\s+')[1], '/')[1] AS DOUBLE))), 5.0) AS grade FROM r""")
+SELECT conv_id, turn, CASE WHEN g IS NULL THEN 5.0 ELSE greatest(0.0, least(10.0, g)) END AS grade FROM (SELECT conv_id, turn, TRY_CAST(string_split(regexp_split_to_array({TRIM.format('reply')}, '\\s+')[1], '/')[1] AS DOUBLE) AS g FROM r)""")
 def parse_relevance(spark, sf_dir):
     t = F.col("turn")
     reply = F.when(t % 4 == 0, F.concat(t.cast("string"), F.lit("/10 good"))).when(t % 4 == 1, "12").when(t % 4 == 2, "-1 x").otherwise(F.col("text"))
