@@ -50,19 +50,40 @@ def knapsack(value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def cutting_stock(demand: dict[int, int], room: int = CLASSES, gap: float = 1e-3, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+def cutting_stock(demand: dict[int, int], room: int = CLASSES, gap: float = 2e-3, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
     """Patterns (class: places) and how many sequences follow each; places of a class add up to its demand."""
     size = np.array(sorted(k for k, v in demand.items() if v > 0), int)
     if not len(size):
         return []
     need = np.array([demand[int(k)] for k in size], float)
-    columns = np.diag((room // size).astype(float))
-    inverse = np.diag(1 / (room // size))
-    x = inverse @ need
+    # first fit decreasing in fractions: each pattern uses up one class, so the patterns are a basis
+    columns, x, open_ = np.diag((room // size).astype(float)), np.zeros(len(size)), need.copy()
+    while (open_ > 1e-9).any():
+        free, pattern = room, np.zeros(len(size))
+        for k in np.flatnonzero(open_ > 1e-9)[::-1]:
+            pattern[k] = free // size[k]
+            free -= int(pattern[k]) * size[k]
+        ratio = np.where(pattern > 0, open_ / np.maximum(pattern, 1), np.inf)
+        k = int(np.argmin(ratio))
+        columns[:, k], x[k] = pattern, ratio[k]
+        open_ -= ratio[k] * pattern
+        open_[k] = 0.0
+    inverse = np.linalg.inv(columns)
+    # prices are drawn towards those that gave the best bound, volumes at first, or they would swing
+    center, bound = size / room, 0.0
     for _ in range(rounds):
         price = inverse.sum(axis=0)
-        column = knapsack(price, size, room)
-        if (worth := float(price @ column)) <= 1 + gap:
+        for pull in (0.8, 0.4, 0.0):
+            mixed = np.maximum(pull * center + (1 - pull) * price, 0)
+            column = knapsack(mixed, size, room)
+            at_least = float(mixed @ need) / max(1.0, float(mixed @ column))
+            if at_least > bound:
+                bound, center = at_least, mixed
+            if float(price @ column) > 1 + 1e-7:
+                break
+        else:
+            break
+        if x.sum() <= bound * (1 + gap):
             break
         step = inverse @ column
         able = step > 1e-9
