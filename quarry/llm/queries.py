@@ -17,4 +17,26 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Sets of 3-word shingles, classes of equal sets, links of 0.9, and what each class reaches over links.
+OP2 = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+c AS (SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS class_id FROM s),
+r AS (SELECT class_id AS d, any_value(s) AS s, any_value(n) AS n FROM c WHERE n > 0 GROUP BY class_id),
+x AS (SELECT d, n, unnest(s) AS t FROM r),
+l AS (SELECT a.d AS a, b.d AS b FROM x a JOIN x b ON a.t = b.t AND a.d < b.d GROUP BY a.d, b.d, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT d, d AS m FROM r UNION SELECT reach.d, e.b FROM reach JOIN e ON e.a = reach.m),
+root AS (SELECT d, min(m) AS root FROM reach GROUP BY d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE root END AS component_id, CASE WHEN n = 0 THEN doc_id ELSE class_id END AS class_id FROM c LEFT JOIN root ON d = class_id"""
+
+#: All 50-byte strings as hexadecimal digits, the first document of each, and the runs of bytes that later ones lose.
+OP4 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), d AS (SELECT doc_id, x, length(x) // 2 AS n FROM h),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s), m AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > first),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM m)),
+sp AS (SELECT doc_id, island, min(i) AS b, max(i) + 50 AS e FROM g GROUP BY ALL),
+k AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS prev FROM sp),
+a AS (SELECT doc_id, sum(e - b) AS r, count(*) AS c, string_agg(substr(x, 2 * prev + 1, 2 * (b - prev)), '' ORDER BY b) AS kept, max(e) AS last FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(from_hex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2, "op4_suffix_dedup": OP4}
