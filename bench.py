@@ -30,12 +30,12 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(3):  # the first also compiles
+        while len(runs) < 3 and (not runs or sum(runs) < 15):  # the first also compiles; long ones run once
             began = time.perf_counter()
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
-        took[name] = round(statistics.median(runs[1:]), 3)
-    print(json.dumps({"metric": "headline queries, warm", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(os.path.normpath(sf_dir))}))
+        took[name] = round(statistics.median(runs[1:] or runs), 3)
+    print(json.dumps({"metric": "headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(os.path.normpath(sf_dir))}))
     spark.stop()
 
 
