@@ -225,6 +225,27 @@ def test_chain_of_moved_fragments():
     assert len(passage_dedup.chains(at, np.r_[at[:10] + 500, at[10:] + 200])) == 2
 
 
+@pytest.mark.parametrize("apart", [30, 60, 100])
+def test_two_passages_in_one_chain(spark, apart):
+    rng = random.Random(apart)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    a, b = own(60), own(60)
+    rows = [own(20) + a + own(apart) + b + own(20), own(30) + a + own(apart) + b + own(10)]
+    got = by_id(passage_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")))
+    assert got[0].spans == [] and got[1].spans == [30, 90, 90 + apart, 150 + apart]
+
+
+def test_passage_with_a_poor_tail():
+    m = np.r_[np.ones(50, bool), np.tile(np.arange(10) < 7, 40)]
+    (x, y), *_ = passage_dedup.stretches(m)
+    assert x == 0 and y >= 50 and m[x:y].mean() >= 0.8
+    rng = np.random.default_rng(3)
+    for p in (0.6, 0.8, 0.9):
+        m = rng.random(400) < p
+        assert all(y - x >= 50 for x, y in passage_dedup.stretches(m))
+    assert passage_dedup.stretches(np.tile(np.arange(5) < 4, 12)) == [(0, 59)]
+
+
 def test_mixing(docs, plain):
     got = by_id(mixing.mix(docs))
     source = {r.doc_id: r.source for r in docs.collect()}
