@@ -37,8 +37,8 @@ LOW = U((1 << 24) - 1)
 #: Bytes of contexts that are sorted at a time.
 SORTED_BYTES = 1 << 20
 
-OUT = "doc_id long, kind int, bucket int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, text binary, data binary"
-_OUT = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("text", pa.binary()), ("data", pa.binary())])
+OUT = "doc_id long, kind int, bucket int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, sources array<long>, text binary, data binary"
+_OUT = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("sources", pa.list_(pa.int64())), ("text", pa.binary()), ("data", pa.binary())])
 
 
 def anchors(s: blocks.Slice, length: int) -> tuple[np.ndarray, ...]:
@@ -135,7 +135,7 @@ def sort_suffixes(buf: np.ndarray, prefix: np.ndarray, start: np.ndarray, segmen
 
 
 def repeats(gid, doc, at, lo, buf, off, length: int):
-    """Windows of contexts that also lie in a context of the same anchor with a smaller doc: doc, anchor, start, end.
+    """Windows of contexts that also lie in a context of the same anchor with a smaller doc: doc, anchor, start, end, the least such doc.
 
     Contexts come in the order of gid; whole groups are sorted together.
     """
@@ -175,11 +175,11 @@ def repeats(gid, doc, at, lo, buf, off, length: int):
         again = doc[c][of[order]] > least[name - 1]
         i = of[order][again]
         s = lo[c][i] + place[order][again]
-        yield doc[c][i], at[c][i], s, s + length
+        yield doc[c][i], at[c][i], s, s + length, least[name - 1][again]
 
 
-def _settle(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Packets to documents. kind 1: doc, place of anchors whose context is covered; kind 2: doc, place, first place of that context, group."""
+def _settle(docs: DataFrame, length: int, buckets: int, sources: bool) -> DataFrame:
+    """Packets to documents. kind 1: doc, place of anchors whose context is covered (and, with ``sources``, a smaller doc that has it); kind 2: doc, place, first place of that context, group."""
 
     def send(batches):
         some, ids = packets.Gather(), []
@@ -196,9 +196,10 @@ def _settle(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             if len(order):
                 r = rest[order]
                 sure = np.minimum.reduceat(r, first) == np.maximum.reduceat(r, first)
-                later = (doc[order] > np.repeat(np.minimum.reduceat(doc[order], first), n)) & np.repeat(sure, n)
+                least = np.repeat(np.minimum.reduceat(doc[order], first), n)
+                later = (doc[order] > least) & np.repeat(sure, n)
                 covered, order = order[later], order[~later]
-                yield from packets.dealt(bucket_of(doc[covered], buckets), 1, doc[covered], at[covered].astype(np.int32))
+                yield from packets.dealt(bucket_of(doc[covered], buckets), 1, doc[covered], at[covered].astype(np.int32), *([least[later]] if sources else []))
             order = np.sort(order)
             target = ((gram[order] >> U(24)) % U(buckets)).astype(np.int32)
             by = np.argsort(target, kind="stable")
@@ -240,7 +241,7 @@ def _settle(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             for kind, m in ((1, covered), (2, several)):
                 o = np.flatnonzero(m)
                 o = o[np.lexsort((at[o], doc[o]))]
-                more = (at[first][of][o].astype(np.int32), key[o] >> U(24)) if kind == 2 else ()
+                more = (at[first][of][o].astype(np.int32), key[o] >> U(24)) if kind == 2 else (least[o],) if sources else ()
                 for b in packets.dealt(bucket_of(doc[o], buckets), kind, doc[o], at[o].astype(np.int32), *more):
                     out += zip(*(c.to_pylist() for c in b.columns), strict=True)
         return packets.table(*([list(x) for x in zip(*out, strict=True)] if out else ([], [], [])))
@@ -249,7 +250,7 @@ def _settle(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return work.written(sent.groupBy("bucket").applyInArrow(settle, packets.SCHEMA), "anchors")
 
 
-def _row(doc_id: int, text: bytes, begin: np.ndarray, end: np.ndarray) -> tuple:
+def _row(doc_id: int, text: bytes, begin: np.ndarray, end: np.ndarray, sources: np.ndarray) -> tuple:
     begin, end = merged(begin, end)
     kept, at = [], 0
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
@@ -257,7 +258,7 @@ def _row(doc_id: int, text: bytes, begin: np.ndarray, end: np.ndarray) -> tuple:
         at = b
     kept.append(text[at:])
     spans = np.stack([begin, end], axis=1).reshape(-1).tolist()
-    return doc_id, 0, None, len(text), int((end - begin).sum()), len(begin), hashlib.sha256(b"".join(kept)).hexdigest(), spans, None, None
+    return doc_id, 0, None, len(text), int((end - begin).sum()), len(begin), hashlib.sha256(b"".join(kept)).hexdigest(), spans, np.unique(sources).tolist(), None, None
 
 
 def _out(rows: list[tuple]) -> pa.Table:
@@ -265,17 +266,21 @@ def _out(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
 
-def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end, begin, ...) of each row."""
+def repeated_substrings(docs: DataFrame, length: int = LENGTH, sources: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end, begin, ...) of each row.
+
+    sources: with ``sources``, smaller docs that have what is removed.
+    """
     spark = docs.sparkSession
     buckets, w = work.parts(spark), length - GRAM + 1
-    settled = _settle(docs, length, buckets)
+    settled = _settle(docs, length, buckets, sources)
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         z = np.zeros(0, np.int64)
-        doc1, at1 = packets.gathered(right, 1) or (z, z)
+        doc1, at1, *src1 = packets.gathered(right, 1) or (z, z)
         order = np.lexsort((at1, doc1))
         doc1, at1 = doc1[order], at1[order].astype(np.int64)
+        src1 = src1[0][order] if src1 else z
         doc2, at2, rep2, gid2 = packets.gathered(right, 2) or (z, z, z, z.view(U))
         order = np.lexsort((at2, doc2))
         doc2, at2, rep2, gid2 = doc2[order], at2[order].astype(np.int64), rep2[order].astype(np.int64), gid2[order]
@@ -285,15 +290,16 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             a, b = np.searchsorted(doc1, doc_id), np.searchsorted(doc1, doc_id, "right")
             begin, end = np.maximum(0, at1[a:b] - (w - 1)), np.minimum(len(text), at1[a:b] + length)
             begin, end = merged(begin, np.maximum(begin, end))
+            src = np.unique(src1[a:b])
             a, b = np.searchsorted(doc2, doc_id), np.searchsorted(doc2, doc_id, "right")
             if a == b:
-                rows.append(_row(doc_id, text, begin, end))
+                rows.append(_row(doc_id, text, begin, end, src))
                 continue
             at, rep, gid = at2[a:b], rep2[a:b], gid2[a:b]
             own = at == rep
             for p, g in zip(at[own].tolist(), gid[own].tolist(), strict=True):
                 sent.append((g, doc_id, p, max(0, p - (w - 1)), text[max(0, p - (w - 1)) : p + length]))
-            rows.append((doc_id, 1, int(bucket_of(np.array([doc_id]), buckets)[0]), None, None, None, None, None, text, packets.pack(begin, end, at[~own], rep[~own])))
+            rows.append((doc_id, 1, int(bucket_of(np.array([doc_id]), buckets)[0]), None, None, None, None, None, None, text, packets.pack(begin, end, at[~own], rep[~own], src)))
         if sent:
             gid, doc, at, lo = (np.array(x, t) for x, t in zip(list(zip(*sent, strict=True))[:4], (U, np.int64, np.int64, np.int64), strict=True))
             target = (blocks.mix(gid) % U(buckets)).astype(np.int32)
@@ -303,7 +309,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 o = by[f : f + k]
                 texts = [sent[j][4] for j in o.tolist()]
                 data = packets.pack(gid[o], doc[o], at[o], lo[o], np.array([len(x) for x in texts], np.int32), np.frombuffer(b"".join(texts), np.uint8))
-                rows.append((None, 2, int(target[o[0]]), None, None, None, None, None, None, data))
+                rows.append((None, 2, int(target[o[0]]), None, None, None, None, None, None, None, data))
         return _out(rows)
 
     def sort(t: pa.Table) -> pa.Table:
@@ -315,24 +321,25 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         found = list(repeats(gid[order], doc[order], at[order], lo[order], buf, off, length))
         if not found:
             return packets.table([], [], [])
-        doc, at, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc, at, begin, end, src = (np.concatenate(x) for x in zip(*found, strict=True))
         # neighbouring windows of an anchor become one interval
         order = np.lexsort((begin, at, doc))
-        doc, at, begin, end = doc[order], at[order], begin[order], end[order]
-        fresh = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | (begin[1:] > begin[:-1] + 1)] if len(doc) else np.zeros(0, bool)
+        doc, at, begin, end, src = doc[order], at[order], begin[order], end[order], src[order]
+        fresh = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | (begin[1:] > begin[:-1] + 1) | (sources & (src[1:] != src[:-1]))] if len(doc) else np.zeros(0, bool)
         head = np.flatnonzero(fresh)
         tail = np.r_[head[1:] - 1, len(doc) - 1] if len(head) else head
-        out = list(packets.dealt(bucket_of(doc[head], buckets), 3, doc[head], at[head], begin[head], end[tail]))
+        out = list(packets.dealt(bucket_of(doc[head], buckets), 3, doc[head], at[head], begin[head], end[tail], *([src[head]] if sources else [])))
         return pa.Table.from_batches(out) if out else packets.table([], [], [])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         z = np.zeros(0, np.int64)
-        doc, at, begin, end = packets.gathered(right, 3) or (z, z, z, z)
+        doc, at, begin, end, *src = packets.gathered(right, 3) or (z, z, z, z)
         order = np.argsort(doc, kind="stable")
         doc, at, begin, end = doc[order], at[order], begin[order], end[order]
+        src = src[0][order] if src else z
         rows = []
         for doc_id, text, data in zip(*(left.column(c).to_pylist() for c in ("doc_id", "text", "data")), strict=True):
-            b0, e0, place, rep = packets.unpack(data)
+            b0, e0, place, rep, src0 = packets.unpack(data)
             a, b = np.searchsorted(doc, doc_id), np.searchsorted(doc, doc_id, "right")
             begins, ends = [b0, begin[a:b]], [e0, end[a:b]]
             if len(place) and a < b:  # other places of the same context
@@ -344,7 +351,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 shift = np.repeat(place - rep, n)
                 begins.append(begin[a:b][which] + shift)
                 ends.append(end[a:b][which] + shift)
-            rows.append(_row(doc_id, text, np.concatenate(begins), np.concatenate(ends)))
+            rows.append(_row(doc_id, text, np.concatenate(begins), np.concatenate(ends), np.r_[src0, src[a:b]]))
         return _out(rows)
 
     texts = work.texts(docs).select("doc_id", "text", bucket_column(F.col("doc_id"), buckets).alias("bucket"))
@@ -352,7 +359,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     sorted_ = covered.filter("kind = 2").select("bucket", "kind", "data").groupBy("bucket").applyInArrow(sort, packets.SCHEMA)
     pending = covered.filter("kind = 1").select("doc_id", "bucket", "text", "data")
     rest = pending.groupBy("bucket").cogroup(sorted_.groupBy("bucket")).applyInArrow(finish, OUT)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["sources"] if sources else [])]
     return covered.filter("kind = 0").select(*names).union(rest.select(*names))
 
 

@@ -246,6 +246,26 @@ def test_passage_with_a_poor_tail():
     assert passage_dedup.stretches(np.tile(np.arange(5) < 4, 12)) == [(0, 59)]
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_passage_of_frequent_lines(spark, partitions):
+    """Each line of the passage also stands alone in other documents, which its seeds meet before the document that has the passage."""
+    rng = random.Random(4)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [own(12) for _ in range(6)]
+    pairs = [[*own(30), *x, *own(30), *y, *own(30)] for x, y in zip(lines, lines[2:] + lines[:2])]
+    joined = [own(8) + [w for x in lines for w in x] + own(9) for _ in range(2)]
+    texts = [*pairs, joined[0], *[[*own(20), *x, *own(20)] for x in lines], joined[1]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(partitions)
+    got, first = by_id(passage_dedup.repeated_passages(docs)), {}
+    for i, w in enumerate(texts):
+        want = set()
+        for j in range(len(w) - 49):
+            if first.setdefault(tuple(w[j : j + 50]), i) < i:
+                want |= set(range(j, j + 50))
+        assert {k for a, b in zip(got[i].spans[::2], got[i].spans[1::2]) for k in range(a, b)} == want
+    assert got[13].spans == [8, 80] and got[13].first_docs == [6]
+
+
 def test_mixing(docs, plain):
     got = by_id(mixing.mix(docs))
     source = {r.doc_id: r.source for r in docs.collect()}
