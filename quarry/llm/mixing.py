@@ -115,14 +115,8 @@ def shard_draws(mixed: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame:
     return each.select("src", "block", F.col("draw").cast("int").alias("draw"), F.size(F.filter("ends", lambda e: e <= at)).alias("shard"))
 
 
-def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame:
-    """The mix itself: ``row`` (struct of all columns of ``docs``) as often as the mix takes it, and its ``shard``; shuffled within shards.
-
-    A document that the mix takes in part has its last copy cut after the last
-    word taken.  Decisions are joined while they are small; texts move once to
-    their decisions and once to their shards.
-    """
-    mixed = work.written(mix(docs, seed), "mix")
+def _drawn(docs: DataFrame, mixed: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows drawn, with their shards, and ``mixed``; both with the keys of a row, of which ``nth`` tells repeated rows apart."""
     place = shard_draws(mixed, shards, seed)
     taken = mixed.filter("taken > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     keys = ["doc_id", "src", "size"]
@@ -138,16 +132,42 @@ def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame
         F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
     rows = rows.withColumn("nth", F.row_number().over(nth.orderBy(F.col("row.text"))) if repeated else F.lit(1))
-    rows = rows.join(decided, [*keys, "nth"]).select("row", "size", "taken", F.explode("draws").alias("to"))
+    rows = rows.join(decided, [*keys, "nth"]).select("row", *keys, "nth", "taken", F.explode("draws").alias("to"))
     left = F.col("taken") - (F.col("to.draw") - 1) * F.col("size")
     cut = F.array_join(F.slice(F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), left.cast("int")), "")
     text = F.when(left < F.col("size"), cut).otherwise(F.col("row.text"))
-    rows = rows.select(F.col("row").withField("text", text).alias("row"), F.col("to.shard").alias("shard"), F.xxhash64(F.lit(seed + 2), "row.doc_id", "to.draw").alias("place"))
+    rows = rows.select(*keys, "nth", F.col("row").withField("text", text).alias("row"), F.col("to.shard").alias("shard"), F.xxhash64(F.lit(seed + 2), "row.doc_id", "to.draw").alias("place"))
+    return rows, mixed.withColumn("nth", F.row_number().over(nth.orderBy(F.desc("taken"))) if repeated else F.lit(1))
+
+
+def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame:
+    """The mix itself: ``row`` (struct of all columns of ``docs``) as often as the mix takes it, and its ``shard``; shuffled within shards.
+
+    A document that the mix takes in part has its last copy cut after the last
+    word taken.  Decisions are joined while they are small; texts move once to
+    their decisions and once to their shards.
+    """
+    rows, _ = _drawn(docs, work.written(mix(docs, seed), "mix"), shards, seed)
+    return in_shards(rows, shards).select("row", "shard")
+
+
+def in_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows dealt to their shards and shuffled there."""
     # a shard is spread over several tasks, so that it may be large
-    spread = max(1, work.parts(docs.sparkSession) // shards)
-    return rows.repartition(F.col("shard"), F.pmod("place", F.lit(spread))).sortWithinPartitions("shard", "place").select("row", "shard")
+    spread = max(1, work.parts(rows.sparkSession) // shards)
+    return rows.repartition(F.col("shard"), F.pmod("place", F.lit(spread))).sortWithinPartitions("shard", "place")
+
+
+def mix_counts(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame:
+    """doc_id, size, source_size, target, and taken and copies as counted in the shards: one row for each row of ``docs``."""
+    rows, mixed = _drawn(docs, work.written(mix(docs, seed), "mix"), shards, seed)
+    keys = ["doc_id", "src", "size", "nth"]
+    dealt = in_shards(rows, shards).withColumn("words", F.regexp_count("row.text", F.lit(WORD)).cast("long"))
+    counted = dealt.groupBy(*keys).agg(F.sum("words").alias("taken"), F.sum((F.col("words") == F.col("size")).cast("int")).cast("int").alias("copies"))
+    out = mixed.drop("taken", "copies").join(counted, keys, "left")
+    return out.select("doc_id", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("taken", "long"), ("copies", "int"))))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all ``documents``: 150 % of all words, sources weighted 3, 1, 2 in turn."""
-    return mix(work.read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix_counts(work.read_documents(spark, sf_dir))

@@ -298,6 +298,15 @@ def test_mixing(docs, plain):
     assert {i: r.taken for i, r in got.items() if r.taken} == dict(taken) and {r.shard for r in rows} <= set(range(4))
 
 
+def test_mixing_counts_what_is_drawn(spark, sf, docs, monkeypatch):
+    columns = ["doc_id", "size", "source_size", "target", "taken", "copies"]
+    for d in (docs, docs.union(docs.filter("doc_id in (6, 15, 60, 72)"))):
+        assert sorted(mixing.mix_counts(d, 4).collect()) == sorted(mixing.mix(d).select(*columns).collect())
+    calls, draws = [], mixing.shard_draws
+    monkeypatch.setattr(mixing, "shard_draws", lambda *a: calls.append(1) or draws(*a))
+    assert queries.QUERIES["op9_mixing"](spark, sf).columns == columns and calls
+
+
 def test_splitting_tree():
     q = np.array([100, 7, 0, 33])
     table = mixing.split_quotas(q, 5, np.random.default_rng(0))
