@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in a local test) is a folder made.
+    Only in a local session that names none (as in a test) is a folder made; a
+    cluster without the setting is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", there)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -29,17 +32,51 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: short lineage, computed once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    # shuffle files are no longer of use once the table stands
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
+
+
+class Scratch:
+    """Tables that an operator keeps in the shared folder; ``drop`` removes those that nothing needs any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str, str | None]] = []
+
+    def written(self, df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+        """The table, written and read back; with ``key`` in buckets by it, so that joins on it move only the other side."""
+        path = new_path(self.spark, name)
+        # shuffle files are no longer of use once the table stands
+        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting, "false")
+        self.spark.conf.set(setting, "true")
+        try:
+            to = df.write.option("compression", "zstd")
+            if key:
+                table = "quarry_" + uuid.uuid4().hex
+                to.bucketBy(parts(self.spark), key).sortBy(key).option("path", path).saveAsTable(table)
+            else:
+                table = None
+                to.parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
+        out = self.spark.table(table) if table else self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path, table))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove these tables; all of them if none is named."""
+        gone = [t for t in self.tables if not tables or any(t[0] is x for x in tables)]
+        self.tables = [t for t in self.tables if not any(t[0] is x[0] for x in gone)]
+        for _, path, table in gone:
+            if table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        if gone := [t[0] for t in self.tables if not any(t[0] is x for x in tables)]:
+            self.drop(*gone)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,3 +98,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bytes of input for each bucket: what one group of a bucketed shuffle holds follows from it, not from the corpus.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(docs: DataFrame) -> int:
+    """Number of buckets for entries of ``docs``: by its bytes, and no fewer than shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # tables that exist in memory only have no size
+    return max(parts(docs.sparkSession), -(-size // BUCKET_BYTES) if size < 1 << 55 else 1)

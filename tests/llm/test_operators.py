@@ -63,9 +63,10 @@ def sets(plain, k):
     return out
 
 
-@pytest.mark.parametrize("k,percent,long", [(3, 90, 16), (3, 90, 2), (5, 80, 3), (1, 50, 2)])
-def test_ngram_join(docs, plain, k, percent, long, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LONG", long)
+@pytest.mark.parametrize("k,percent,leaders,cell", [(3, 90, 3, 1024), (3, 90, 1, 2), (5, 80, 1, 3), (1, 50, 1, 2), (1, 50, 3, 1024)])
+def test_ngram_join(docs, plain, k, percent, leaders, cell, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    monkeypatch.setattr(ngram_join, "CELL", cell)
     own = sets(plain, k)
     root = {i: i for i in own}
 
@@ -84,6 +85,28 @@ def test_ngram_join(docs, plain, k, percent, long, monkeypatch):
     assert all(100 * len(own[r.a] & own[r.b]) >= percent * len(own[r.a] | own[r.b]) for r in links.collect())
 
 
+def test_one_bit_minhashes():
+    """Unrelated sets are told apart, linked ones never are."""
+    rng = np.random.default_rng(4)
+    most, unlike = ngram_join.most_apart(80), 0
+    for n in [*[7, 20, 100, 700] * 50, 5000]:
+        x = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        d = n // 9  # 80 % of the union is common
+        a, b, c = x[:n], np.r_[x[d:n], x[n : n + d]], x[n:]
+        apart = lambda u, v: int(np.bitwise_count(ngram_join.one_bit(u) ^ ngram_join.one_bit(v)).sum())
+        assert apart(a, b) <= most
+        unlike += apart(a, c) > most
+    assert unlike >= 190 and ngram_join.most_apart(90) < most < 64
+
+
+def test_ngram_join_of_a_repeated_id(spark):
+    """Rows that share a doc_id are nodes by their texts."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, "some other text of its own"), (2, " ".join(words[:58] + ["x", "y"])), (3, "some other text of its own"), (4, None)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)[0]
+    assert sorted((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in got.collect()) == [(1, 4, 1, 1), (1, 58, 1, 1), (2, 58, 2, 1), (3, 4, 1, 1), (4, 0, 4, 4)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (200, 200)], "a long, b long")
     assert {r.node: r.root for r in components.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100, 200: 200}
