@@ -126,7 +126,7 @@ def _drawn(docs: DataFrame, mixed: DataFrame, shards: int, seed: int) -> tuple[D
     taken = taken.withColumn("nth", F.dense_rank().over(nth.orderBy(F.desc("taken"))) if not repeated else F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(F.desc("taken"))))
     decided = taken.join(place, ["src", "block", "draw"]).groupBy(*keys, "nth").agg(F.max("taken").alias("taken"), F.collect_list(F.struct("draw", "shard")).alias("draws"))
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*[F.col(work.quoted(c)) for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         source_key(F.col("source").cast("string")).alias("src"),
         F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),

@@ -30,7 +30,7 @@ def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
     whole: with ``row``, a struct of all columns of ``docs``, whatever their names.
     """
     more = ["row"] if whole else []
-    t = work.texts(docs, *([F.struct(*docs.columns).alias("row")] if whole else []))
+    t = work.texts(docs, *([F.struct(*[F.col(work.quoted(c)) for c in docs.columns]).alias("row")] if whole else []))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(SOLID))
     t = t.select("*", F.array_remove(F.split("text", SPACE), "").alias("w"), lines.alias("lines"))
     # windows of three words as (hash, place), in the order of hashes: equal ones are neighbours

@@ -8,11 +8,14 @@ few comparisons:
     least hash is an anchor, so equal windows have equal anchors at equal
     places.  An anchor's context is what its windows can reach.  Within an
     anchor's group, a context that also occurs in a smaller doc_id is covered
-    whole; repeats within a task are settled there, before the shuffle.
+    whole; repeats within a task are settled there, before the shuffle.  Here
+    contexts are equal when 56 bits of their hashes and 40 of the anchor's are:
+    of m different contexts of one anchor, m * m / 2**57 are taken for equal.
 2.  What is left are groups with several contexts, of which one of each is
-    sent, as text, to one place.  There the windows' suffixes are sorted by a
-    mergesort that compares two suffixes by a binary search for their common
-    extension in the prefix hashes; equal neighbours are verified byte by byte.
+    sent, as text, to one place.  Windows whose hash no other document has
+    leave; the suffixes of the rest are sorted by a mergesort that compares two
+    suffixes by a binary search for their common extension in the prefix
+    hashes; equal neighbours are verified byte by byte.
 3.  Each document joins its covered intervals.
 
 A doc_id names one text: rows that repeat it have the same text and get the
@@ -162,6 +165,16 @@ def repeats(gid, doc, at, lo, buf, off, length: int):
         segment = group[of] * (w + 1) + (left[of] - place)
         where = begin[of] + place
         prefix = blocks.prefix_hashes(text)
+        # equal windows have equal hashes: those that no other document can have leave before the sort
+        name = blocks.mix(blocks.spans_hash(prefix, where, where + length) + segment.astype(U) * U(0xD1B54A32D192ED03))
+        by = np.argsort(name, kind="stable")
+        heads, n = packets.runs(name[by])
+        d = doc[c][of[by]]
+        met = by[np.repeat(np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads), n)]
+        if not len(met):
+            continue
+        met = np.sort(met)
+        of, place, segment, where = of[met], place[met], segment[met], where[met]
         order = sort_suffixes(text, prefix, where, segment, length)
         x, y = where[order[:-1]], where[order[1:]]
         same = (segment[order[:-1]] == segment[order[1:]]) & (common_extension(prefix, x, y, length) >= length)
@@ -188,7 +201,7 @@ def _settle(docs: DataFrame, length: int, buckets: int, sources: bool) -> DataFr
             row, at, gram, context = some.take()
             doc = np.concatenate(ids)[row]
             key = (gram & ~LOW) | (context >> U(40))
-            rest = (context & U(0xFFFF)).astype(np.uint16)
+            rest = (context & U(0xFFFFFFFF)).astype(np.uint32)
             # contexts that repeat here: only those of the least doc travel, later docs are covered
             order = np.argsort(key, kind="stable")
             first, n = packets.runs(key[order])
@@ -247,7 +260,7 @@ def _settle(docs: DataFrame, length: int, buckets: int, sources: bool) -> DataFr
         return packets.table(*([list(x) for x in zip(*out, strict=True)] if out else ([], [], [])))
 
     sent = work.texts(docs).mapInArrow(send, packets.SCHEMA)
-    return work.written(sent.groupBy("bucket").applyInArrow(settle, packets.SCHEMA), "anchors")
+    return sent.groupBy("bucket").applyInArrow(settle, packets.SCHEMA)
 
 
 def _row(doc_id: int, text: bytes, begin: np.ndarray, end: np.ndarray, sources: np.ndarray) -> tuple:
@@ -267,13 +280,14 @@ def _out(rows: list[tuple]) -> pa.Table:
 
 
 def repeated_substrings(docs: DataFrame, length: int = LENGTH, sources: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end, begin, ...) of each row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end, begin, ...) of each row; a written table.
 
     sources: with ``sources``, smaller docs that have what is removed.
     """
     spark = docs.sparkSession
-    buckets, w = work.parts(spark), length - GRAM + 1
-    settled = _settle(docs, length, buckets, sources)
+    scratch = work.Scratch(spark)
+    buckets, w = work.buckets(docs), length - GRAM + 1
+    settled = scratch.written(_settle(docs, length, buckets, sources), "anchors")
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         z = np.zeros(0, np.int64)
@@ -355,12 +369,15 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, sources: bool = F
         return _out(rows)
 
     texts = work.texts(docs).select("doc_id", "text", bucket_column(F.col("doc_id"), buckets).alias("bucket"))
-    covered = work.written(texts.groupBy("bucket").cogroup(settled.groupBy("bucket")).applyInArrow(cover, OUT), "covered")
+    covered = scratch.written(texts.groupBy("bucket").cogroup(settled.groupBy("bucket")).applyInArrow(cover, OUT), "covered")
+    scratch.drop(settled)
     sorted_ = covered.filter("kind = 2").select("bucket", "kind", "data").groupBy("bucket").applyInArrow(sort, packets.SCHEMA)
     pending = covered.filter("kind = 1").select("doc_id", "bucket", "text", "data")
     rest = pending.groupBy("bucket").cogroup(sorted_.groupBy("bucket")).applyInArrow(finish, OUT)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["sources"] if sources else [])]
-    return covered.filter("kind = 0").select(*names).union(rest.select(*names))
+    out = scratch.written(covered.filter("kind = 0").select(*names).union(rest.select(*names)), "spans")
+    scratch.keep(out)
+    return out
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
