@@ -50,6 +50,19 @@ def knapsack(value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
+def product(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (a * v).sum(axis=1)
+
+
+def pivoted(inverse: np.ndarray, column: np.ndarray, k: int) -> np.ndarray:
+    """The inverse of a basis whose k-th column gives way to ``column``."""
+    step = product(inverse, column)
+    pivot = inverse[k] / step[k]
+    out = inverse - step[:, None] * pivot
+    out[k] = pivot
+    return out
+
+
 def cutting_stock(demand: dict[int, int], room: int = CLASSES, gap: float = 2e-3, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
     """Patterns (class: places) and how many sequences follow each; places of a class add up to its demand."""
     size = np.array(sorted(k for k, v in demand.items() if v > 0), int)
@@ -57,7 +70,9 @@ def cutting_stock(demand: dict[int, int], room: int = CLASSES, gap: float = 2e-3
         return []
     need = np.array([demand[int(k)] for k in size], float)
     # first fit decreasing in fractions: each pattern uses up one class, so the patterns are a basis
+    # (their inverse is kept by pivots in plain sums: a BLAS with threads may hang beside a running session)
     columns, x, open_ = np.diag((room // size).astype(float)), np.zeros(len(size)), need.copy()
+    inverse = np.diag(1 / np.diag(columns))
     while (open_ > 1e-9).any():
         free, pattern = room, np.zeros(len(size))
         for k in np.flatnonzero(open_ > 1e-9)[::-1]:
@@ -66,9 +81,9 @@ def cutting_stock(demand: dict[int, int], room: int = CLASSES, gap: float = 2e-3
         ratio = np.where(pattern > 0, open_ / np.maximum(pattern, 1), np.inf)
         k = int(np.argmin(ratio))
         columns[:, k], x[k] = pattern, ratio[k]
+        inverse = pivoted(inverse, pattern, k)
         open_ -= ratio[k] * pattern
         open_[k] = 0.0
-    inverse = np.linalg.inv(columns)
     # prices are drawn towards those that gave the best bound, volumes at first, or they would swing
     center, bound = size / room, 0.0
     for _ in range(rounds):
@@ -76,35 +91,33 @@ def cutting_stock(demand: dict[int, int], room: int = CLASSES, gap: float = 2e-3
         for pull in (0.8, 0.4, 0.0):
             mixed = np.maximum(pull * center + (1 - pull) * price, 0)
             column = knapsack(mixed, size, room)
-            at_least = float(mixed @ need) / max(1.0, float(mixed @ column))
+            at_least = float((mixed * need).sum()) / max(1.0, float((mixed * column).sum()))
             if at_least > bound:
                 bound, center = at_least, mixed
-            if float(price @ column) > 1 + 1e-7:
+            if float((price * column).sum()) > 1 + 1e-7:
                 break
         else:
             break
         if x.sum() <= bound * (1 + gap):
             break
-        step = inverse @ column
+        step = product(inverse, column)
         able = step > 1e-9
         ratio = np.full(len(x), np.inf)
         ratio[able] = x[able] / step[able]
         leave = int(np.argmin(ratio))
         x = x - ratio[leave] * step
         x[leave] = ratio[leave]
-        pivot = inverse[leave] / step[leave]
-        inverse = inverse - np.outer(step, pivot)
-        inverse[leave] = pivot
+        inverse = pivoted(inverse, column, leave)
         columns[:, leave] = column
     whole = np.floor(np.maximum(x, 0) + 1e-7).astype(int)
     # rounding noise must not hand out more places than there are rests
-    over = columns @ whole - need > 0.5
+    over = product(columns, whole) - need > 0.5
     while over.any():
         k = next(k for k in range(len(whole)) if whole[k] and (columns[over, k] > 0).any())
         whole[k] -= 1
-        over = columns @ whole - need > 0.5
+        over = product(columns, whole) - need > 0.5
     out = [({int(s): int(c) for s, c in zip(size, columns[:, k], strict=True) if c}, int(whole[k])) for k in range(len(whole)) if whole[k]]
-    left = np.rint(need - columns @ whole).astype(int)
+    left = np.rint(need - product(columns, whole)).astype(int)
     while left.any():  # at most a few thousand rests, however large the corpus
         free, pattern = room, {}
         for k in range(len(size) - 1, -1, -1):

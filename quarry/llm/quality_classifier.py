@@ -131,6 +131,18 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return np.array([b[0] / b[2] for b in blocks_]), np.array([b[1] / b[2] for b in blocks_])
 
 
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a positive definite system by elimination, in plain sums: a BLAS with threads may hang beside a running session."""
+    a, b = a.copy(), b.copy()
+    for k in range(len(b) - 1):
+        part = a[k + 1 :, k] / a[k, k]
+        a[k + 1 :, k + 1 :] -= part[:, None] * a[k, k + 1 :]
+        b[k + 1 :] -= part * b[k]
+    for k in range(len(b) - 1, -1, -1):
+        b[k] = (b[k] - (a[k, k + 1 :] * b[k + 1 :]).sum()) / a[k, k]
+    return b
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """Fits to the rows of ``stats`` that ``labels`` (doc_id, quality 0 or 1) has; without any, every score is 0.5."""
     scale = stats.agg(*[F.struct(F.avg(F.col("stats")[k]).alias("m"), F.stddev_pop(F.col("stats")[k]).alias("s")).alias(f"c{k}") for k in range(N_STATS)]).head()
@@ -159,7 +171,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     schema = "slot int, sums binary"
     total = sum((np.frombuffer(r["sums"]) for r in train.mapInArrow(sums, schema).repartition(SUMS, "slot").mapInArrow(add, schema).collect()), np.zeros(width * width + width))
     a, b = total[: width * width].reshape(width, width), total[width * width :]
-    model.weights = np.linalg.solve(a + RIDGE * np.eye(width), b)
+    model.weights = solved(a + RIDGE * np.eye(width), b)
 
     def raw(batches):
         for x in batches:
