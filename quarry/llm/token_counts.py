@@ -81,6 +81,9 @@ class PieceTree:
             last, at = self._leaf(hi)
             hi = at + int(self.size[last + self.width])
         region = self.text[lo:begin] + new + self.text[end:hi]
+        if self.encoder.special(region):  # an added token may have come about, which changes how all around it is cut
+            first, last, lo, hi = 0, self.leaves - 1, 0, total
+            region = self.text[:begin] + new + self.text[end:]
         self.text = self.text[:begin] + new + self.text[end:]
         size, count, pieces = self._measure(region)
         for leaf in range(first + 1, last + 1):
@@ -118,12 +121,15 @@ def count_with_edits(docs: DataFrame, edits: Column, vocabulary: str, spaced: bo
 
 
 def three_edits(text: Column, inserted: Column) -> Column:
-    """Five code points go at a quarter, ten give way to a word at the half, the word is put in at three quarters."""
+    """Five code points go at a quarter, ten give way to a word at the half, the word is put in at three quarters.
+
+    A short text loses no more than what lies before the next place; an empty or null text has no edits.
+    """
     n = F.length(text)
-    quarter = lambda k: F.floor(n * k / 4).cast("int")
-    one = lambda begin, size, new: F.struct(begin.alias("begin"), (begin + size).alias("end"), new.alias("text"))
+    place = lambda k: F.floor(n * k / 4).cast("int")
+    one = lambda k, size, new: F.struct(place(k).alias("begin"), (place(k) + F.least(F.lit(size), place(k + 1) - place(k))).alias("end"), new.alias("text"))
     word = F.coalesce(inserted, F.lit(""))
-    return F.when(n >= 80, F.array(one(quarter(1), 5, F.lit("")), one(quarter(2), 10, word), one(quarter(3), 0, word)))
+    return F.when(n > 0, F.array(one(1, 5, F.lit("")), one(2, 10, word), one(3, 0, word)))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

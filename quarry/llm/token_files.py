@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import blocks, tokens, work
 
 BLOCK = 512
+#: Ids that a reader decodes at a time: whole blocks.
+DECODED = 256 * BLOCK
 ESCAPE = 15
 #: Ids in a word and bits of each, by selector.
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30)}
@@ -106,6 +108,17 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def decode_range(words: np.ndarray, per_block: np.ndarray, n: int, begin: int, end: int) -> np.ndarray:
+    """The ids from ``begin`` to ``end`` of ``n``: only the blocks that hold them are decoded, found by their offsets."""
+    begin, end = max(begin, 0), min(end, n)
+    if begin >= end:
+        return np.zeros(0, np.uint64)
+    offset = np.r_[0, np.cumsum(per_block.astype(np.int64))]
+    a, b = begin // BLOCK, -(-end // BLOCK)
+    ids = decode(words[offset[a] : offset[b]], min(n, b * BLOCK) - a * BLOCK)
+    return ids[begin - a * BLOCK : end - a * BLOCK]
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, spaced: bool, chunk_ids: int = 1 << 20) -> None:
     """Encode every text (null: empty) and write its ids, ``end_id`` appended, in ascending doc_id order.
 
@@ -167,10 +180,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                flat = decode(np.frombuffer(r["words"], "<u8"), r["n_ids"]).astype("<u4")
+                words, per_block = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["block_words"], "<u4")
                 n = np.frombuffer(r["doc_tokens"], "<u4").astype(np.int64)
                 end = np.cumsum(n)
-                raw = flat.tobytes()
+                raw = b"".join(decode_range(words, per_block, r["n_ids"], x, x + DECODED).astype("<u4").tobytes() for x in range(0, r["n_ids"], DECODED))
                 parts = [raw[4 * a : 4 * e] for a, e in zip(end - n, end, strict=True)]
                 columns = [pa.array([r[k]] * len(n), pa.int32()) for k in ("shard", "chunk")]
                 columns += [pa.array(np.frombuffer(r["doc_ids"], "<i8")), pa.array(end - n), pa.array(n), pa.array([tokens.crc(p) for p in parts], pa.int64())]
@@ -181,7 +194,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "shard int, chunk int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    read = files.select("shard", "chunk", "n_ids", "doc_ids", "doc_tokens", "words").mapInArrow(run, schema)
+    read = files.select("shard", "chunk", "n_ids", "doc_ids", "doc_tokens", "block_words", "words").mapInArrow(run, schema)
     return read.join(starts, ["shard", "chunk"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -45,8 +45,8 @@ class WordEncoder:
     A text is cut only where the vocabulary's own pattern always breaks: at
     white space (``spaced=False``, for vocabularies that drop it), or before a
     blank next to another character (``spaced=True``, byte-level vocabularies,
-    where the blank belongs to the following word).  Strings of special tokens
-    are ordinary text.
+    where the blank belongs to the following word).  A text that holds the
+    string of an added token (a special one) is encoded whole.
     """
 
     _of: dict[tuple[str, bool], WordEncoder] = {}
@@ -56,11 +56,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.model = self.tokenizer.model
         self.known = Known(self)
         self.parts: dict[bytes, bytes] = {}
+        self.words = Words()
 
     @classmethod
     def of(cls, path: str, spaced: bool) -> WordEncoder:
@@ -75,6 +76,8 @@ class WordEncoder:
             return text.split()
         if not text:
             return []
+        if self.special(text):
+            return [MARK + text]
         # a byte that no text holds marks a piece without a blank before it
         if _RUN.search(text):
             first, *rest = _CUT.split(text)
@@ -82,6 +85,21 @@ class WordEncoder:
         first, *rest = text.split(b" ")
         return ([MARK + first] if first else []) + rest
 
+    def special(self, text: bytes) -> bool:
+        """Whether a text holds the string of an added token."""
+        return any(t in text for t in self.added)
+
+    def _special_rows(self, data: bytes, off: np.ndarray) -> set[int]:
+        rows = set()
+        for t in self.added:
+            at = data.find(t)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right")) - 1
+                if at + len(t) <= off[i + 1]:
+                    rows.add(i)
+                at = data.find(t, at + 1)
+        return rows
+
     def _whole(self, piece: bytes) -> str:
         """The text that a piece stands for."""
         if self.spaced:
@@ -115,6 +133,8 @@ class WordEncoder:
 
     def ids_of_piece(self, piece: bytes) -> bytes:
         """The ids of a piece that is not known yet."""
+        if self.spaced and piece.isalpha():  # letters of ASCII are one pre-token
+            return array("I", [t.id for t in self.model.tokenize(_BYTE_CHARS[32] + piece.decode())]).tobytes()
         if (m := _CORE.fullmatch(piece)) and (ids := self._plain(*m.groups())) is not None:
             return ids
         return array("I", self.tokenizer.encode(self._whole(piece), add_special_tokens=False).ids).tobytes()
@@ -145,34 +165,43 @@ class WordEncoder:
         row = np.repeat(np.arange(rows), n)
         h = blocks.spans_hash(blocks.prefix_hashes(buf), start, stop) + (stop - start).astype(np.uint64) if len(start) else np.zeros(0, np.uint64)
         blank = (buf[start - 1] == 32) & (start > off[row]) if len(start) else np.zeros(0, bool)
-        h = h * np.uint64(2) + blank
-        _, where, of = np.unique(blocks.mix(h), return_index=True, return_inverse=True)
-        get = self.known.__getitem__
-        spans = zip(start[where].tolist(), stop[where].tolist(), blank[where].tolist(), strict=True)
-        pool = [get(data[x:y] if z else MARK + data[x:y]) for x, y, z in spans]
+        h = blocks.mix(h * np.uint64(2) + blank)
+        names, where, of = np.unique(h, return_index=True, return_inverse=True)
+        known = self.words
+        if len(known.name) > CACHE_WORDS:
+            known.clear()
+        if len(new := where[known.find(names) < 0]):
+            get = self.ids_of_piece
+            known.add(h[new], [get(data[x:y] if z else MARK + data[x:y]) for x, y, z in zip(start[new].tolist(), stop[new].tolist(), blank[new].tolist(), strict=True)])
+        of = known.find(names)[of]
+        first_own, pool = len(known.name), []
         items = [(start, of)]
         at, which, slow = self._gaps(data, buf, off, start, stop, first, row, pool)
+        which = which + first_own
+        slow = sorted(self._special_rows(data, off) | slow)
         if slow:  # a text where other white space meets the cuts is encoded whole
             fine = ~np.isin(row, slow)
             items = [(start[fine], of[fine])]
             keep = ~np.isin(np.searchsorted(off, at, "right") - 1, slow)
             at, which = at[keep], which[keep]
-            items.append((off[slow], np.arange(len(pool), len(pool) + len(slow))))
+            items.append((off[slow], first_own + len(pool) + np.arange(len(slow))))
             pool += [array("I", self.tokenizer.encode(data[off[i] : off[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() for i in slow]
         items.append((at, which))
         # ends come after all else of their row
-        items.append((off[1:], np.full(rows, len(pool))))
+        last = first_own + len(pool)
+        items.append((off[1:], np.full(rows, last)))
         pool.append(int(end).to_bytes(4, "little"))
         place = np.concatenate([2 * x for x, _ in items[:-1]] + [2 * off[1:] - 1])
         order = np.argsort(place, kind="stable")
         which = np.concatenate([w for _, w in items])[order]
         size = np.array([len(x) // 4 for x in pool], np.int64)
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(pool), "<u4")
+        begin = np.r_[known.begin, len(known.flat) + np.cumsum(size) - size]
+        size = np.r_[known.size, size]
+        flat = np.r_[known.flat, np.frombuffer(b"".join(pool), "<u4")]
         length = size[which]
         done = np.cumsum(length)
         ids = flat[np.repeat(begin[which] - (done - length), length) + np.arange(int(done[-1]) if len(done) else 0)]
-        ends = done[which == len(pool) - 1]
+        ends = done[which == last]
         return ids, np.diff(np.r_[0, ends])
 
     def _gaps(self, data, buf, off, start, stop, first, row, pool):
@@ -195,7 +224,7 @@ class WordEncoder:
                 pool.append(ids)
             at.append(x)
             which.append(seen[key])
-        return np.array(at, np.int64), np.array(which, np.int64), sorted(slow)
+        return np.array(at, np.int64), np.array(which, np.int64), slow
 
     @staticmethod
     def _exotic(edge: bytes) -> bool:
@@ -203,6 +232,33 @@ class WordEncoder:
         return len(edge) >= 2 and edge[-2] == 0xC2 or len(edge) >= 3 and edge[-3] in (0xE1, 0xE2, 0xE3)
 
 
+class Words:
+    """Ids of the words met so far, by a 64-bit hash of word and blank, in the order of hashes."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.name = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def find(self, name: np.ndarray) -> np.ndarray:
+        """Places of these names; -1 for those that are new."""
+        at = np.searchsorted(self.name, name)
+        at[at == len(self.name)] = -1
+        return np.where(self.name[at] == name, at, -1) if len(self.name) else at
+
+    def add(self, name: np.ndarray, ids: list[bytes]) -> None:
+        order = np.argsort(name)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        begin = len(self.flat) + np.cumsum(size) - size
+        at = np.searchsorted(self.name, name[order])
+        self.begin, self.size = np.insert(self.begin, at, begin[order]), np.insert(self.size, at, size[order])
+        self.name = np.insert(self.name, at, name[order])
+        self.flat = np.r_[self.flat, np.frombuffer(b"".join(ids), "<u4")]
+
+
 class Known(dict):
     """Ids of the pieces met so far; when full, frequent ones come back from the older half."""
 
