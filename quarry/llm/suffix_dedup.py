@@ -165,30 +165,46 @@ def repeats(gid, doc, at, lo, buf, off, length: int):
         segment = group[of] * (w + 1) + (left[of] - place)
         where = begin[of] + place
         prefix = blocks.prefix_hashes(text)
-        # equal windows have equal hashes: those that no other document can have leave before the sort
+        # windows of equal hash are one entry of the sort, that of the least doc; those that no other doc can have leave
         name = blocks.mix(blocks.spans_hash(prefix, where, where + length) + segment.astype(U) * U(0xD1B54A32D192ED03))
-        by = np.argsort(name, kind="stable")
+        d = doc[c][of]
+        by = np.lexsort((d, name))
         heads, n = packets.runs(name[by])
-        d = doc[c][of[by]]
-        met = by[np.repeat(np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads), n)]
-        if not len(met):
-            continue
-        met = np.sort(met)
-        of, place, segment, where = of[met], place[met], segment[met], where[met]
-        order = sort_suffixes(text, prefix, where, segment, length)
-        x, y = where[order[:-1]], where[order[1:]]
-        same = (segment[order[:-1]] == segment[order[1:]]) & (common_extension(prefix, x, y, length) >= length)
-        hit = np.flatnonzero(same)
-        for k in range(0, len(hit), 100_000):  # verified byte by byte
-            j = hit[k : k + 100_000]
-            same[j] = (text[x[j][:, None] + np.arange(length)] == text[y[j][:, None] + np.arange(length)]).all(axis=1)
-        name = np.cumsum(np.r_[True, ~same])
-        heads, _ = packets.runs(name)
-        least = np.minimum.reduceat(doc[c][of[order]], heads) if len(heads) else heads
-        again = doc[c][of[order]] > least[name - 1]
-        i = of[order][again]
-        s = lo[c][i] + place[order][again]
-        yield doc[c][i], at[c][i], s, s + length, least[name - 1][again]
+        last = heads + n - 1
+        met = d[by[heads]] < d[by[last]]
+        entry = np.repeat(by[heads[met]], n[met])
+        window = by[np.repeat(met, n)]
+        while len(window):
+            own, head = np.unique(entry, return_index=True)
+            order = sort_suffixes(text, prefix, where[own], segment[own], length)
+            x, y = own[order[:-1]], own[order[1:]]
+            # neighbours that are equal to the last byte are one
+            same = (segment[x] == segment[y]) & (common_extension(prefix, where[x], where[y], length) >= length)
+            same[same] = equal_bytes(text, where[x[same]], where[y[same]], length)
+            first_of = np.empty(len(own), np.int64)
+            first_of[order] = order[np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(own)), 0))]
+            to = own[first_of[np.searchsorted(own, entry)]]
+            ok = equal_bytes(text, where[window], where[to], length)
+            again = ok & (d[window] > d[to])
+            i, s = of[window[again]], place[window[again]]
+            s = lo[c][i] + s
+            yield doc[c][i], at[c][i], s, s + length, d[to[again]]
+            # windows whose hash only looked like the entry's meet among themselves
+            window = window[~ok]
+            window = window[np.lexsort((d[window], name[window]))]
+            heads, n = packets.runs(name[window])
+            entry = np.repeat(window[heads], n)
+
+
+def equal_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes from each a are those from b, compared eight at a time."""
+    if length < 8 or len(buf) < length:
+        return (buf[a[:, None] + np.arange(length)] == buf[b[:, None] + np.arange(length)]).all(axis=1)
+    eight = np.ndarray(len(buf) - 7, "<u8", np.ascontiguousarray(buf), strides=(1,))
+    same = np.ones(len(a), bool)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        same &= eight[a + k] == eight[b + k]
+    return same
 
 
 def _settle(docs: DataFrame, length: int, buckets: int, sources: bool) -> DataFrame:
