@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Scores add up in whole units of this part.
+SCALE = 1_000_000_000
 
 #: English words that carry no topic; the list is ours.
 STOP_WORDS = """a about above after again against all am an and any are as at be because been before being below between both but by
@@ -38,22 +40,39 @@ def term_stats(posted: DataFrame, n_docs: Column | int) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf0") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf0")).alias("idf"), "mean_idf")
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score (six places) for every document that shares a term with a query (query_id, query).
+def bm25_parts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id and part: what each term of a query (query_id, query) that a document has adds to its score, in units of ``1 / SCALE``.
 
+    Whole numbers add up alike in any order, so sums are the same in every run.
     A query's repeated words count as often as they occur: they become a
-    weight, so a term meets its postings once.
+    weight, so a term meets its postings once.  Only terms of queries become
+    postings, with the length of their document; all others count in the mean.
     """
-    posted, lengths = postings(corpus), document_lengths(corpus)
+    words = corpus.select("doc_id", tokens(F.col("text")).alias("w"))
     # one row: number of documents and their mean length
-    shape = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    shape = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    raw = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(shape.select("n"))).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    asked = terms.select("term").distinct()
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.join(F.broadcast(shape.select("n"))).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf0").alias("m"))
-    stats = raw.join(terms.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean)).select("term", F.when(F.col("idf0") < 0, EPSILON * F.col("m")).otherwise(F.col("idf0")).alias("idf"))
-    hits = terms.join(stats, "term").join(posted, "term").join(lengths, "doc_id").join(F.broadcast(shape.select("avgdl")))
+    stats = raw.join(asked, "term", "left_semi").join(F.broadcast(mean)).select("term", F.when(F.col("idf0") < 0, EPSILON * F.col("m")).otherwise(F.col("idf0")).alias("idf"))
+    posted = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = posted.join(terms.join(stats, "term"), "term").join(F.broadcast(shape.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return hits.select("query_id", "doc_id", F.floor(part * SCALE + 0.5).alias("part"))
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """The sums, rounded to six places while they are whole."""
+    six = SCALE // 1_000_000
+    total = parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
+    return total.select("query_id", "doc_id", (F.floor((F.col("part") + six // 2) / six) / 1_000_000).alias("score"))
+
+
+def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, score (six places) for every document that shares a term with a query (query_id, query)."""
+    return summed(bm25_parts(corpus, queries))
 
 
 def ranked(scored: DataFrame, k: int, score: str = "score", item: str = "doc_id") -> DataFrame:
@@ -68,14 +87,11 @@ def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, min_score: float = 0
     Documents without a common word score zero, so with ``min_score`` 0 they
     fill up short lists; among the 2k least doc_ids there are always enough.
     """
-    scores = bm25_scores(corpus, queries)
-    best = ranked(scores.filter(F.col("score") >= min_score), k).drop("rank")
-    if min_score > 0:
-        return ranked(best, k)
-    count = best.groupBy("query_id").agg(F.count("*").alias("have"))
-    short = queries.select("query_id").join(count, "query_id", "left").filter(F.coalesce("have", F.lit(0)) < k).select("query_id")
-    fill = short.join(F.broadcast(corpus.select("doc_id").orderBy("doc_id").limit(2 * k))).join(scores.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    return ranked(best.unionByName(fill.withColumn("score", F.lit(0.0))), k)
+    parts = bm25_parts(corpus, queries)
+    if min_score <= 0:
+        least = corpus.select("doc_id").orderBy("doc_id").limit(2 * k)
+        parts = parts.unionByName(queries.select("query_id").distinct().join(F.broadcast(least)).withColumn("part", F.lit(0).cast("long")))
+    return ranked(summed(parts).filter(F.col("score") >= min_score), k)
 
 
 def grams(c: Column, most: int = 3) -> Column:
@@ -83,22 +99,32 @@ def grams(c: Column, most: int = 3) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
 
 
-def gram_rows(df: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
-    """key, term and n of each n-gram."""
-    w = df.select(key, grams(F.col(text)).alias("w"))
-    w = w.select(key, "w", F.posexplode("w").alias("i", "one"))
-    terms = [F.col("one")]
-    for k in range(2, most + 1):
-        terms.append(F.when(F.col("i") + k <= F.size("w"), F.concat_ws(" ", F.slice("w", F.col("i") + 1, k))))
-    each = w.select(key, F.explode(F.array_compact(F.array(*terms))).alias("term"))
+def with_grams(df: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
+    """key and g: all n-grams of the text, built within its array of words."""
+    df = df.select(key, grams(F.col(text)).alias("w"))
+    runs = [F.col("w")]
+    for k in range(2, most + 1):  # a run of k words is one of k - 1 and the word after it
+        runs.append(F.zip_with(runs[-1], F.slice("w", F.lit(k), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return df.select(key, F.array_compact(F.concat(*runs)).alias("g"))
+
+
+def gram_rows(df: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """key, term and n of each n-gram (with_grams) that the vocabulary has."""
+    each = df.select(key, F.explode("g").alias("term")).join(vocab.select("term"), "term", "left_semi")
     return each.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def vocabulary(rows: DataFrame, n_docs: DataFrame, most: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """The most frequent terms (ties by term) within the bounds of document frequency, with smoothed idf."""
-    df = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
-    df = df.join(F.broadcast(n_docs)).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
-    return df.orderBy(F.desc("total"), "term").limit(most).select("term", "df", "total", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+def vocabulary(df: DataFrame, most: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
+    """The most frequent n-grams (with_grams; ties by term) within the bounds of document frequency, with smoothed idf.
+
+    Occurrences and documents of a term are counted in one shuffle of partial sums.
+    """
+    n_docs = df.agg(F.count("*").alias("n_docs"))
+    one = lambda terms, total, docs: df.select(F.explode(terms).alias("term"), F.lit(total).alias("total"), F.lit(docs).alias("df"))
+    each = one(F.col("g"), 1, 0).unionByName(one(F.array_distinct("g"), 0, 1))
+    counts = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    counts = counts.join(F.broadcast(n_docs)).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
+    return counts.orderBy(F.desc("total"), "term").limit(most).select("term", "df", "total", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weights(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
@@ -110,8 +136,8 @@ def weights(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 
 def tfidf_scores(corpus: DataFrame, queries: DataFrame, most: int = 5000, n: int = 3, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """query_id, doc_id and cosine similarity (six places) of pairs that share a term of the vocabulary."""
-    rows = gram_rows(corpus, "doc_id", "text", n)
-    vocab = vocabulary(rows, corpus.agg(F.count("*").alias("n_docs")), most, min_df, max_df)
-    q = weights(gram_rows(queries, "query_id", "query", n), vocab, "query_id").withColumnRenamed("w", "qw")
-    d = weights(rows, vocab, "doc_id")
+    docs = with_grams(corpus, "doc_id", "text", n)
+    vocab = vocabulary(docs, most, min_df, max_df)
+    q = weights(gram_rows(with_grams(queries, "query_id", "query", n), "query_id", vocab), vocab, "query_id").withColumnRenamed("w", "qw")
+    d = weights(gram_rows(docs, "doc_id", vocab), vocab, "doc_id")
     return q.join(d, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block.
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
+#: Most bytes of query blocks that are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def _blocks(df: DataFrame, key: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
@@ -23,11 +25,13 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int, names: tuple[str, s
             return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=list(names))
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.array(v, np.float64)
-                if (norm := float(np.sqrt(x @ x))) > 0:
-                    ids.append(i)
-                    rows.append(x / norm)
+            if not b.num_rows:
+                continue
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            norm = np.sqrt((m * m).sum(axis=1))
+            for i, x in zip(b.column(0).to_numpy()[norm > 0].tolist(), m[norm > 0] / norm[norm > 0, None], strict=True):
+                ids.append(i)
+                rows.append(x)
                 if len(ids) == size:
                     yield block()
                     ids, rows = [], []
@@ -61,7 +65,9 @@ def cosine_top(queries: DataFrame, rows: DataFrame, k: int, floor: float | None
 
     left = _blocks(queries, "query_id", "embedding", QUERY_BLOCK, ("qi", "qv"))
     right = _blocks(rows, "vec_id", "embedding", ROW_BLOCK, ("ri", "rv"))
-    pairs = right.crossJoin(left).select("qi", "qv", "ri", "rv")
+    # query blocks go to all tasks while they are small; beyond that Spark pairs the blocks
+    size = left.agg(F.sum(F.length("qv") + F.length("qi"))).head()[0] or 0
+    pairs = right.crossJoin(F.broadcast(left) if size <= BROADCAST_BYTES else left).select("qi", "qv", "ri", "rv")
     found = pairs.mapInArrow(score, "query_id long, vec_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -23,7 +23,7 @@ t0 AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 t1 AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM t0, sh),
 ts AS (SELECT term, df, CASE WHEN idf0 < 0 THEN 0.25 * (SELECT avg(idf0) FROM t1) ELSE idf0 END AS idf FROM t1),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOK.format('query')}) AS term FROM q) GROUP BY ALL),
-bm AS (SELECT query_id, p.doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+bm AS (SELECT query_id, p.doc_id, CAST(floor((sum(CAST(floor(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1000000000 + 0.5) AS BIGINT)) + 500) / 1000) AS BIGINT) / 1000000 AS score
   FROM qt JOIN ts USING (term) JOIN p USING (term) JOIN dl ON dl.doc_id = p.doc_id, sh GROUP BY ALL),
 bmtop AS (SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank
   FROM (SELECT q.query_id, d.doc_id, coalesce(bm.score, 0.0) AS score FROM q CROSS JOIN documents d LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = d.doc_id) WHERE score >= 0))"""
@@ -258,7 +258,7 @@ TFIDF = _tfidf_sql("documents", "(SELECT item_id AS query_id, text AS query FROM
 @query(f"WITH {TFIDF} SELECT term, df, CAST(total AS BIGINT) AS total, round(idf, 6) AS idf FROM vocab")
 def tfidf_terms(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    v = keyword.vocabulary(keyword.gram_rows(c, "doc_id", "text"), c.agg(F.count("*").alias("n_docs")), 5000)
+    v = keyword.vocabulary(keyword.with_grams(c, "doc_id", "text"), 5000)
     return v.select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 

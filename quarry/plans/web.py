@@ -26,10 +26,10 @@ def url_domain(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", html.host(F.col("url")).alias("domain"))
 
 
-@query(f"SELECT count(DISTINCT {HOST.format('url')}) AS n, list_sort(list(DISTINCT {HOST.format('url')})) AS domains FROM pages WHERE page_id % 5 = 0")
+@query(f"SELECT count(DISTINCT {HOST.format('url')}) AS n, list_sort(list(DISTINCT {HOST.format('url')})) AS domains FROM pages")
 def distinct_domains(spark, sf_dir):
-    """Hosts of a fifth of the pages, which stand for one crawl."""
-    d = pages(spark, sf_dir).filter("page_id % 5 = 0").select(html.host(F.col("url")).alias("d")).distinct()
+    """Hosts of all pages."""
+    d = pages(spark, sf_dir).select(html.host(F.col("url")).alias("d")).distinct()
     return d.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("d")).alias("domains"))
 
 
