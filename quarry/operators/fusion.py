@@ -22,7 +22,8 @@ def weighted(keyword: DataFrame, vector: DataFrame, k: int, keyword_weight: floa
     v = min_max(vector, "similarity", "v") if normalize_vector else vector.withColumn("v", F.col("similarity"))
     both = a.join(v.select("query_id", "doc_id", "v"), ["query_id", "doc_id"], "full_outer")
     fused = keyword_weight / total * F.coalesce("b", F.lit(0.0)) + vector_weight / total * F.coalesce("v", F.lit(0.0))
-    return top(both.withColumn("ensemble_score", F.round(fused, 6)), "ensemble_score", k).select("query_id", "doc_id", "ensemble_score", "rank")
+    # rounded by the sum itself, as ties of seven places differ between ways to print it
+    return top(both.withColumn("ensemble_score", F.floor(fused * 1_000_000 + 0.5) / 1_000_000), "ensemble_score", k).select("query_id", "doc_id", "ensemble_score", "rank")
 
 
 def reciprocal(keyword: DataFrame, vector: DataFrame, k: int, constant: int = 60) -> DataFrame:

@@ -120,8 +120,8 @@ def vocabulary(df: DataFrame, most: int, min_df: int = 1, max_df: float = 1.0) -
     Occurrences and documents of a term are counted in one shuffle of partial sums.
     """
     n_docs = df.agg(F.count("*").alias("n_docs"))
-    one = lambda terms, total, docs: df.select(F.explode(terms).alias("term"), F.lit(total).alias("total"), F.lit(docs).alias("df"))
-    each = one(F.col("g"), 1, 0).unionByName(one(F.array_distinct("g"), 0, 1))
+    one = lambda terms, total, docs: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"), F.lit(docs).alias("df")))
+    each = df.select(F.explode(F.concat(one(F.col("g"), 1, 0), one(F.array_distinct("g"), 0, 1))).alias("x")).select("x.*")
     counts = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
     counts = counts.join(F.broadcast(n_docs)).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
     return counts.orderBy(F.desc("total"), "term").limit(most).select("term", "df", "total", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))

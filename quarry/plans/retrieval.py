@@ -128,7 +128,7 @@ def minmax_norm(spark, sf_dir):
 
 
 FUSED = f"""nb AS (SELECT query_id, doc_id, {MINMAX} AS b FROM btop WINDOW w AS (PARTITION BY query_id)),
-fused AS (SELECT coalesce(nb.query_id, v.query_id) AS query_id, coalesce(nb.doc_id, v.doc_id) AS doc_id, round(0.3 * coalesce(b, 0.0) + 0.7 * coalesce(similarity, 0.0), 6) AS ensemble_score
+fused AS (SELECT coalesce(nb.query_id, v.query_id) AS query_id, coalesce(nb.doc_id, v.doc_id) AS doc_id, floor((0.3::DOUBLE * coalesce(b, 0.0) + 0.7::DOUBLE * coalesce(similarity, 0.0)) * 1000000 + 0.5) / 1000000 AS ensemble_score
   FROM nb FULL OUTER JOIN vtop v ON nb.query_id = v.query_id AND nb.doc_id = v.doc_id),
 hybrid AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ensemble_score DESC, doc_id) AS INT) AS rank FROM fused)"""
 
