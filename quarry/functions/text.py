@@ -159,3 +159,37 @@ def numbered_references(response: Column, titles: Column) -> Column:
     numbers = F.array_sort(F.filter(F.transform(citations(response), lambda c: c.try_cast("int")), lambda i: i.isNotNull() & (i >= 1) & (i <= F.size(titles))))
     lines = F.transform(numbers, lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.get(titles, i - 1)))
     return F.when(F.size(numbers) > 0, F.concat(response, F.lit("\n\n## References\n"), F.array_join(lines, "\n"))).otherwise(response)
+
+
+def chunk_with_header(title: Column, chunk: Column, part: Column, parts: Column) -> Column:
+    """A chunk below its heading, which tells its part where a section has several."""
+    number = F.when(parts > 1, F.concat(F.lit(" (Part "), part.cast("string"), F.lit("/"), parts.cast("string"), F.lit(")"))).otherwise(F.lit(""))
+    return F.concat(F.lit("# "), title, number, F.lit("\n\n"), chunk)
+
+
+def event_stream_text(body: Column) -> Column:
+    """The reply in a stream of ``data:`` lines, whose deltas follow each other up to ``[DONE]``; lines that are no JSON add nothing."""
+    lines = F.transform(F.filter(F.split(body, "\n"), lambda x: x.startswith("data: ")), lambda x: F.substring(x, F.lit(7), F.length(x)))
+    return F.array_join(F.array_compact(F.transform(lines, lambda x: F.get_json_object(x, "$.choices[0].delta.content"))), "")
+
+
+def json_lines_text(body: Column) -> Column:
+    """The reply in lines of JSON, each with a part of it as ``response``."""
+    return F.array_join(F.array_compact(F.transform(F.split(body, "\n"), lambda x: F.get_json_object(x, "$.response"))), "")
+
+
+def merged_metadata(base: Column, section: Column) -> Column:
+    """Both maps in one; where they share a key, the section's value stands."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(section), k)), section)
+
+
+def sentence_boundary(text: Column, target: Column | int) -> Column:
+    """The end of the sentence (a full stop, ! or ? before white space or the end) nearest to a place, the earlier one on ties; null without any."""
+    target = target if isinstance(target, Column) else F.lit(target)
+    before, after = F.substring(text, F.lit(1), target), F.substring(text, target + 1, F.length(text))
+    # a sign at the cut ends a sentence only if what follows allows it
+    left = F.length(F.regexp_extract(F.concat(before, F.substring(text, target + 1, F.lit(1))), r"(?s)^(.*[.!?])(?=\s|$)", 1))
+    left = F.when(left > target, F.lit(0)).otherwise(left)
+    right = F.length(F.regexp_extract(after, r"(?s)^(.*?[.!?])(?=\s|$)", 1))
+    lo, hi = F.when(left > 0, left), F.when(right > 0, target + right)
+    return F.when(hi.isNull() | (target - lo <= hi - target), lo).otherwise(hi)

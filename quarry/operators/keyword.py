@@ -75,6 +75,11 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return summed(bm25_parts(corpus, queries))
 
 
+def not_blank(queries: DataFrame, text: str = "query") -> DataFrame:
+    """Queries of white space alone, or none, have no results."""
+    return queries.filter(F.size(tokens(F.col(text))) > 0)
+
+
 def ranked(scored: DataFrame, k: int, score: str = "score", item: str = "doc_id") -> DataFrame:
     """The k best rows of each query, ties by item, with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), item)
@@ -87,6 +92,7 @@ def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, min_score: float = 0
     Documents without a common word score zero, so with ``min_score`` 0 they
     fill up short lists; among the 2k least doc_ids there are always enough.
     """
+    queries = not_blank(queries)
     parts = bm25_parts(corpus, queries)
     if min_score <= 0:
         least = corpus.select("doc_id").orderBy("doc_id").limit(2 * k)

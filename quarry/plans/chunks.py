@@ -89,3 +89,10 @@ SELECT doc_id, CAST(grp AS INT) AS part, string_agg(ps[i], chr(10) ORDER BY i) A
 def paragraph_chunks(spark, sf_dir):
     """Lines stand for paragraphs: the documents have no blank lines."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.paragraph_chunks(F.col("text"), "\n")).alias("part", "chunk"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, CAST(i AS INT) AS chunk_order, sha256('# Document ' || doc_id || CASE WHEN parts > 1 THEN ' (Part ' || (i + 1) || '/' || parts || ')' ELSE '' END || chr(10) || chr(10) || chunk) AS content_hash FROM chunks")
+def chunk_headers(spark, sf_dir):
+    """Chunks below the headings that searches see."""
+    text = T.chunk_with_header(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.col("chunk"), F.col("part_number"), F.col("total_parts"))
+    return parts(spark, sf_dir).select("doc_id", "chunk_order", F.sha2(text, 256).alias("content_hash"))

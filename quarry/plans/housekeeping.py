@@ -166,3 +166,27 @@ def tumbling_counts(spark, sf_dir):
 def sliding_counts(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("t", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("t", "1 hour", "15 minutes")).agg(F.count("*").alias("n")).select(F.unix_micros("window.start").alias("start_us"), "n")
+
+
+@query(f"WITH {LIBRARY_SQL} SELECT doc_id, CASE WHEN status = 'processing' THEN 'pending' ELSE status END AS status, status = 'processing' AS recovered FROM lib")
+def recover_stuck(spark, sf_dir):
+    """What a start after a crash leaves: documents that were being processed wait again."""
+    stuck = F.col("status") == "processing"
+    return library(spark, sf_dir).select("doc_id", F.when(stuck, "pending").otherwise(F.col("status")).alias("status"), stuck.alias("recovered"))
+
+
+@query(f"""WITH {LIBRARY_SQL} SELECT doc_id, list_sort(['kind=section', 'lang=' || upper(coalesce(lang, '?')), 'source=' || coalesce(source, '?'), 'title=' || title]) AS metadata FROM lib""")
+def metadata_merge(spark, sf_dir):
+    """Metadata of a document under that of its section."""
+    lang, source = (F.coalesce(c, F.lit("?")) for c in ("lang", "source"))
+    base = F.create_map(F.lit("kind"), F.lit("document"), F.lit("lang"), lang, F.lit("source"), source, F.lit("title"), F.col("title"))
+    section = F.create_map(F.lit("kind"), F.lit("section"), F.lit("lang"), F.upper(lang))
+    entries = F.transform(F.map_entries(T.merged_metadata(base, section)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return library(spark, sf_dir).select("doc_id", F.array_sort(entries).alias("metadata"))
+
+
+@query("SELECT source, round(avg(r), 6) AS mean_ratio, round(max(r), 6) AS max_ratio FROM (SELECT source, length(text) / greatest(1, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS r FROM documents) GROUP BY source")
+def ratio_summary(spark, sf_dir):
+    """Mean and greatest ratio of a measurement: characters a word, by source."""
+    ratio = F.length("text") / F.greatest(F.lit(1), T.word_count(F.col("text")))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg(ratio), 6).alias("mean_ratio"), F.round(F.max(ratio), 6).alias("max_ratio"))

@@ -165,3 +165,17 @@ def test_ingest(spark, sf, tmp_path):
     for _ in range(2):  # the second finds nothing new
         stream.ingest(spark, f"{tmp_path}/in", docs.schema, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == chunking.semantic_chunks(docs).count()
+
+
+def test_sentence_boundary(spark):
+    text = "One two. Three four! Five 3.5 six?"
+    assert [one(spark, T.sentence_boundary(F.lit(text), k)) for k in (1, 8, 13, 14, 15, 34)] == [8, 8, 8, 8, 20, 34]
+    assert one(spark, T.sentence_boundary(F.lit("no end"), 3)) is None
+
+
+def test_blank_queries_find_nothing(spark):
+    from quarry.operators import keyword
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " \t"), (2, None), (3, "a")], "query_id int, query string")
+    assert {r.query_id for r in keyword.bm25_top(docs, asked, 2).collect()} == {3}
