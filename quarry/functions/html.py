@@ -24,14 +24,20 @@ class Node:
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def walk(self):
-        for c in self.children:
+    def parts(self):
+        """All nodes and strings below, in the order of the page; no recursion, as unclosed elements nest without bound."""
+        left = self.children[::-1]
+        while left:
+            c = left.pop()
+            yield c
             if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+                left.extend(c.children[::-1])
+
+    def walk(self):
+        return (c for c in self.parts() if isinstance(c, Node))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(c for c in self.parts() if isinstance(c, str))
 
     def find(self, *tags: str, having=lambda n: True) -> Node | None:
         return next((n for n in self.walk() if n.tag in tags and having(n)), None)
@@ -68,15 +74,17 @@ class Tree(HTMLParser):
 
 def prune(node: Node) -> None:
     """Drop boilerplate, but nothing that holds the main region."""
-    kept = []
-    for c in node.children:
-        if isinstance(c, Node):
-            out = c.tag in DROPPED or DROPPED_CLASSES & set(c.attrs.get("class", "").split())
-            if out and not c.find(*{n.tag for n in c.walk()}, having=lambda n: n.attrs.get("role") == "main" or n.attrs.get("id") == "mc-main-content"):
-                continue
-            prune(c)
-        kept.append(c)
-    node.children = kept
+    holds = set()
+    for n in node.walk():
+        if n.attrs.get("role") == "main" or n.attrs.get("id") == "mc-main-content":
+            while (n := n.parent) and id(n) not in holds:
+                holds.add(id(n))
+    out = lambda c: isinstance(c, Node) and id(c) not in holds and (c.tag in DROPPED or DROPPED_CLASSES & set(c.attrs.get("class", "").split()))
+    left = [node]
+    while left:
+        n = left.pop()
+        n.children = [c for c in n.children if not out(c)]
+        left += [c for c in n.children if isinstance(c, Node)]
 
 
 def page_title(root: Node, url: str) -> str:

@@ -179,3 +179,12 @@ def test_blank_queries_find_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, " \t"), (2, None), (3, "a")], "query_id int, query string")
     assert {r.query_id for r in keyword.bm25_top(docs, asked, 2).collect()} == {3}
+
+
+def test_html_that_never_closes():
+    """Thousands of open elements, and a main region inside what is dropped elsewhere."""
+    root = html.Tree("<li>item " * 3000).root
+    html.prune(root)
+    assert root.text() == "item " * 3000 and sum(1 for _ in root.walk()) == 3000
+    kept = html.sections("http://x/y", "<aside><div role='main'><h1>Kept</h1><p>a paragraph that stays</p></div></aside><footer><p>a paragraph that goes</p></footer>")
+    assert [(s["title"], s["content"]) for s in kept] == [("Kept", "a paragraph that stays")]
