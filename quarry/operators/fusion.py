@@ -64,3 +64,11 @@ def corrective(df: DataFrame, grade: Column, threshold: float = 7.0) -> DataFram
     graded = df.withColumn("relevance_score", grade)
     any_grade = F.count("relevance_score").over(Window.partitionBy("query_id")) > 0
     return graded.withColumn("graded", any_grade).filter(~F.col("graded") | (F.col("relevance_score") >= threshold)).drop("graded")
+
+
+def with_web(good: DataFrame, web: DataFrame, queries: DataFrame, least: int = 3, score: float = 8.0) -> DataFrame:
+    """query_id, item and relevance_score: relevant rows, and found web rows for queries with fewer than ``least`` of them."""
+    counts = good.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = queries.select("query_id").distinct().join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < least)
+    found = web.join(short.select("query_id"), "query_id", "left_semi").select("query_id", "item", F.lit(score).alias("relevance_score"), F.lit("web").alias("source_type"))
+    return good.select("query_id", "item", "relevance_score", F.lit("document").alias("source_type")).unionByName(found)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import any_of, trim_ws
+
 #: Parameter sets by kind of document.
 PROFILES = {
     "default": {"chunk_words": 500, "overlap_words": 50},
@@ -53,6 +55,44 @@ def markdown_table(rows: Column) -> Column:
     return F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")
 
 
+#: Words and signs of a line that tells a shortcut.
+SHORTCUT = ("HOME", "ALT", "CTRL", "LEFT", "RIGHT", "UP", "DOWN", "Middle", "mouse", "drag", "+", "-")
+
+
+def _share(lines: Column, good) -> Column:
+    return F.size(F.filter(lines, good)) / F.size(lines)
+
+
+def is_shortcut_table(lines: Column) -> Column:
+    """Three lines or more, over 60 % of them with a key or a mouse action."""
+    named = lambda x: any_of(x, SHORTCUT, lower=True)
+    return (F.size(lines) >= 3) & (_share(lines, named) > 0.6)
+
+
+def is_table(lines: Column, lefts: Column) -> Column:
+    """Three lines or more that mostly end in a key-like word, or that begin at two places at most and are mostly short."""
+    words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+
+    def key_like(x: Column) -> Column:
+        last = F.element_at(words(x), -1)
+        upper = (last == F.upper(last)) & (last != F.lower(last)) & (F.length(last) <= 15)
+        return F.when(F.size(words(x)) >= 2, upper | last.rlike("^(?:[A-Z]+|[+-])$")).otherwise(False)
+
+    aligned = (F.size(F.array_distinct(lefts)) <= 2) & (_share(lines, lambda x: F.size(words(x)) <= 5) > 0.5)
+    return (F.size(lines) >= 3) & ((_share(lines, key_like) > 0.7) | aligned)
+
+
+def chunk_text(blocks: Column) -> Column:
+    """The text of blocks (structs of kind and text, in order): list items one below the other, all else apart by a blank line."""
+
+    def put(b: Column) -> Column:
+        before = F.when(b["kind"] == "list_item", "\n").otherwise("\n\n")
+        after = F.when(b["kind"].isin("heading", "note"), "\n").when(b["kind"] == "table", "\n\n").otherwise("")
+        return F.concat(before, b["text"], after)
+
+    return F.regexp_replace(trim_ws(F.array_join(F.transform(blocks, put), "")), "\n{3,}", "\n\n")
+
+
 def attach_tables(blocks: DataFrame, tables: DataFrame, swallow: int = 3) -> DataFrame:
     """The k-th table of a page takes the place of the k-th free table row, and the next three rows of the page go.
 

@@ -90,3 +90,11 @@ def hash_embedding(df: DataFrame, text: str, dims: int = 64) -> DataFrame:
         return pd.Series(out)
 
     return df.withColumn("embedding", embed(text))
+
+
+def backfill(df: DataFrame, text: str, old: str, new: str, embed=hash_embedding) -> DataFrame:
+    """Rows that have the ``old`` vector but lack the ``new`` one get it from their text; all others stay as they are."""
+    todo = F.col(old).isNotNull() & F.col(new).isNull()
+    # the text of other rows is null, so nothing is computed for them
+    made = embed(df.select(F.struct("*").alias("row"), todo.alias("todo"), F.when(todo, F.col(text)).alias("text")), "text")
+    return made.select(*[F.when(F.col("todo"), F.col("embedding")).otherwise(F.col("row")[c]).alias(c) if c == new else F.col("row")[c].alias(c) for c in df.columns])

@@ -32,7 +32,8 @@ def chunk_parts(spark, sf_dir):
     return parts(spark, sf_dir).withColumn("content_hash", F.sha2("chunk", 256)).drop("chunk")
 
 
-@query()
+@query(f"""WITH {CHUNKS} SELECT doc_id, CAST(i AS INT) AS chunk_order, chunk, sha256(chunk) AS content_hash, CASE WHEN contains(chunk, '<code>') OR contains(chunk, '<pre>') THEN 'code' ELSE 'text' END AS content_type,
+ len(list_filter(regexp_split_to_array(chunk, '\\s+'), lambda x: x <> '')) AS words, CAST(greatest(1, length(chunk) // 4) AS BIGINT) AS tokens FROM chunks""")
 def chunks_table(spark, sf_dir):
     """The chunk table as it is appended: text, hash, order, kind, path and counts."""
     c = parts(spark, sf_dir)

@@ -220,6 +220,20 @@ def corrective_filter(spark, sf_dir):
     return fusion.corrective(found, grade, 3.0).select("query_id", "doc_id", "relevance_score")
 
 
+
+@query(f"""WITH {BM25}, c AS (SELECT b.query_id, 'Document ' || b.doc_id AS item, round(10 * {RELEVANCE}, 6) AS relevance_score FROM bmtop b JOIN q USING (query_id) JOIN documents d USING (doc_id) WHERE b.rank <= 10),
+good AS (SELECT * FROM c WHERE relevance_score >= 3.0), short AS (SELECT query_id FROM q WHERE (SELECT count(*) FROM good g WHERE g.query_id = q.query_id) < 3)
+SELECT *, 'document' AS source_type FROM good UNION ALL SELECT p.page_id, p.url, 8.0, 'web' FROM pages p JOIN short ON p.page_id = short.query_id""")
+def corrective_web(spark, sf_dir):
+    """Relevant results, with pages from a web search (the page of the query's number stands for one) where they are few."""
+    q, c = questions(spark, sf_dir), corpus(spark, sf_dir)
+    found = keyword.bm25_top(c, q, 10).join(q, "query_id").join(c, "doc_id")
+    grade = F.round(10 * fusion.lexical_relevance(F.col("query"), F.col("text")), 6)
+    good = fusion.corrective(found, grade, 3.0).withColumn("item", F.concat(F.lit("Document "), "doc_id"))
+    web = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("item"))
+    return fusion.with_web(good, web, q)
+
+
 ENHANCED = MULTI + f""", cand AS (SELECT f.*, CAST(row_number() OVER (PARTITION BY f.query_id ORDER BY query_ord, rank) AS INT) AS place FROM firsts f),
 rr AS (SELECT cand.query_id, cand.doc_id, place, {RELEVANCE} AS reranker_score FROM cand JOIN q0 q ON q.query_id = cand.query_id JOIN documents d ON d.doc_id = cand.doc_id),
 cut AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, place) AS INT) AS final_rank FROM rr) WHERE final_rank <= 5),

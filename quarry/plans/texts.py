@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.prompts import TEMPLATES, attributed, chat, numbered, prompt, with_history
 from quarry.operators import fusion, keyword
 from quarry.sources.tables import LIBRARY_SQL, library, table
 
@@ -200,20 +201,6 @@ def context_topn(spark, sf_dir):
     return top.select("query_id", "doc_id", "rank", F.substring("text", 1, 300).alias("excerpt"))
 
 
-#: Our own wording of the prompts.
-TEMPLATES = {
-    "cot": "Think step by step, then answer.\nSources:\n{context}\nQuestion: {question}\n",
-    "extractive": "Quote only what the sources say.\nSources:\n{context}\nQuestion: {question}\n",
-    "citation": "Answer and cite sources as [n].\nSources:\n{context}\nQuestion: {question}\n",
-}
-
-
-def prompt(template: str, question: Column, context_: Column) -> Column:
-    """A prompt; unknown templates fall back to step-by-step reasoning."""
-    t = F.lit(TEMPLATES.get(template, TEMPLATES["cot"]))
-    return F.replace(F.replace(t, F.lit("{question}"), question), F.lit("{context}"), context_)
-
-
 PROMPT_SQL = "replace(replace('" + TEMPLATES["citation"].replace("\n", "' || chr(10) || '") + "', '{question}', query), '{context}', context)"
 
 
@@ -224,3 +211,51 @@ def prompt_build(spark, sf_dir):
     q = questions(spark, sf_dir)
     top = keyword.bm25_top(corpus(spark, sf_dir), q, 3).join(docs(spark, sf_dir), "doc_id")
     return context(top, 300, "\n\n").join(q, "query_id").select("query_id", prompt("citation", F.col("query"), F.col("context")).alias("prompt"))
+
+
+def _quoted(t: str) -> str:
+    return "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _prompt_sql(name: str, context_: str) -> str:
+    before, after = TEMPLATES[name].replace("{examples}", "").split("{context}")
+    between, end = after.split("{question}")
+    return f"SELECT query_id, '{name}' AS template, {_quoted(before)} || {context_} || {_quoted(between)} || query || {_quoted(end)} AS prompt FROM s JOIN q USING (query_id)"
+
+
+#: The first three results of each query as sources, and the three layouts of them.
+SOURCES = f"""{BM25}, t AS (SELECT query_id, rank, 'Document ' || doc_id AS title, source, left(text, 300) AS text FROM bmtop JOIN documents USING (doc_id) WHERE rank <= 3),
+s AS (SELECT query_id, string_agg('[Source ' || rank || '] ' || title || ' (Page ' || rank || '):' || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS attributed,
+ string_agg('[' || rank || '] ' || title || ' (Page ' || rank || ', Source: ' || source || '):' || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS numbered,
+ string_agg('Document: ' || title || chr(10) || 'Section: ' || source || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS chat FROM t GROUP BY query_id)"""
+
+
+def sources(spark, sf_dir) -> DataFrame:
+    """query_id and sources: title, source, section, page (the rank stands for one) and text of the first three results."""
+    top = keyword.bm25_top(corpus(spark, sf_dir), questions(spark, sf_dir), 3).join(docs(spark, sf_dir), "doc_id")
+    one = F.struct("rank", F.concat(F.lit("Document "), "doc_id").alias("title"), "source", F.col("source").alias("section"), F.col("rank").cast("string").alias("page"), F.substring("text", 1, 300).alias("text"))
+    return top.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("sources"))
+
+
+LAYOUTS = {"cot": "chat", "extractive": "chat", "citation": "chat", "few_shot": "chat", "attributed": "attributed", "numbered": "numbered"}
+
+
+@query(f"WITH {SOURCES} " + " UNION ALL ".join(_prompt_sql(name, layout) for name, layout in LAYOUTS.items()))
+def prompt_variants(spark, sf_dir):
+    """Every template with the layout of sources that it asks for."""
+    made = {"chat": chat, "attributed": attributed, "numbered": numbered}
+    rows = sources(spark, sf_dir).join(questions(spark, sf_dir), "query_id")
+    each = F.array(*[F.struct(F.lit(name).alias("template"), prompt(name, F.col("query"), made[layout](F.col("sources"))).alias("prompt")) for name, layout in LAYOUTS.items()])
+    return rows.select("query_id", F.explode(each).alias("x")).select("query_id", "x.template", "x.prompt")
+
+
+@query(f"""WITH {SOURCES}, h AS (SELECT conv_id AS query_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id)
+SELECT query_id, nullif(concat_ws(chr(10) || chr(10) || '=====' || chr(10) || chr(10), 'Previous Conversation:' || chr(10) || nullif(history, ''), 'Relevant Documents:' || chr(10) || nullif(chat, '')), '') AS context
+FROM s FULL JOIN h USING (query_id)""")
+def context_history(spark, sf_dir):
+    """The context of a turn: what was said before in the conversation of that number, and the documents found."""
+    said = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))))
+    history = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(said.alias("h"))
+    history = history.select("query_id", F.array_join(F.transform("h", lambda x: x["line"]), "\n").alias("history"))
+    found = sources(spark, sf_dir).select("query_id", chat(F.col("sources")).alias("chat"))
+    return found.join(history, "query_id", "full_outer").select("query_id", with_history(F.col("history"), F.col("chat")).alias("context"))

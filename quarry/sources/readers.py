@@ -64,3 +64,25 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     """Results of the first search, of the second for queries where the first has none."""
     return first.unionByName(second.join(first.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def ingest_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The sections of all HTML files of a folder as one document: url, position (by path, then section), title, content and word_count."""
+    return _sections(read_html(spark, path, recursive=True))
+
+
+def ingest_home(spark: SparkSession, home: str) -> tuple[DataFrame, DataFrame]:
+    """(sections, files) of a home page: its own sections as those of ``ingest_folder``, and the relative HTML files that it links to, each once."""
+    page = spark.read.format("binaryFile").load(home).select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
+    href = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1)))
+    links = page.select(href.alias("h")).select(F.regexp_replace("h", r"[?#].*$", "").alias("file"))
+    files = links.filter(~F.col("file").startswith("http") & F.lower("file").rlike(r"\.html?$")).distinct().orderBy("file")
+    return _sections(page), files
+
+
+def _sections(pages: DataFrame) -> DataFrame:
+    from quarry.functions.html import html_sections
+
+    p = pages.withColumn("page_id", F.xxhash64("url"))
+    found = html_sections(p.select("page_id", "url", "html")).join(p.select("page_id", "url"), "page_id")
+    return found.select("url", F.col("section_id").alias("position"), "page_title", "title", "content", "word_count").orderBy("url", "position")
