@@ -301,6 +301,29 @@ def test_passage_of_frequent_lines(spark, partitions):
     assert got[13].spans == [8, 80] and got[13].first_docs == [6]
 
 
+@pytest.mark.parametrize("percent", [85, 90, 95])
+def test_recall_of_near_passages(spark, percent):
+    """Passages in which so many words agree are found in nine of ten cases, and no other word goes."""
+    rng = random.Random(percent)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, place = [], {}
+    for k in range(60):
+        n = (60, 120, 240)[k % 3]
+        passage, before = own(n), own(rng.randint(10, 60))
+        other = set(rng.sample(range(n), n * (100 - percent) // 100))
+        again = [own(1)[0] if j in other else w for j, w in enumerate(passage)]
+        rows += [own(40) + passage + own(40), before + again + own(40)]
+        place[2 * k + 1] = (len(before), len(before) + n)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got, found = by_id(passage_dedup.repeated_passages(docs)), 0
+    for i in range(len(rows)):
+        removed = {k for a, b in zip(got[i].spans[::2], got[i].spans[1::2]) for k in range(a, b)}
+        a, b = place.get(i, (0, 0))
+        assert removed <= set(range(a, b))
+        found += i in place and len(removed) >= 0.75 * (b - a)
+    assert found >= 0.9 * len(place), found
+
+
 def test_mixing(docs, plain):
     got = by_id(mixing.mix(docs))
     source = {r.doc_id: r.source for r in docs.collect()}
