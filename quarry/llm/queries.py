@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, ngram_join, packing, passage_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, token_files
+from . import fingerprints, mixing, ngram_join, packing, passage_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -40,3 +40,21 @@ a AS (SELECT doc_id, sum(e - b) AS r, count(*) AS c, string_agg(substr(x, 2 * pr
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(from_hex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)"""
 
 ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2, "op4_suffix_dedup": OP4}
+
+#: crc32 of bytes given as hexadecimal digits, by a table of 256 remainders.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda s, x: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)) AS t)"
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda p: ('0x' || p)::BIGINT)), lambda s, b: xor(s // 256, t[xor(s % 256, b) + 1])), 4294967295)"
+
+#: Virtual slots, their pieces, and a greedy deal of them to 24 shards, the largest first.
+OP13 = f"""WITH RECURSIVE {CRC_TABLE}, d AS MATERIALIZED (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size, {CRC.format("coalesce(text, '')")} AS text_crc32, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3))::INT AS virtual_slot FROM documents, crc),
+t AS (SELECT sum(size)::BIGINT AS total FROM d),
+p AS MATERIALIZED (SELECT *, CASE WHEN 4 * 24 * sum(size) OVER (PARTITION BY virtual_slot) > total THEN (sum(size) OVER o - size) // greatest(total // 384, 1) ELSE 0 END::INT AS piece, row_number() OVER o - 1 AS nth FROM d, t WINDOW o AS (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+u0 AS (SELECT virtual_slot, piece, count(*) AS n, sum(size)::BIGINT AS b, min(nth) AS first FROM p GROUP BY virtual_slot, piece),
+u AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY b DESC, virtual_slot, piece) AS i FROM u0),
+g AS (SELECT 0::BIGINT AS i, list_transform(range(24), lambda k: 0::BIGINT) AS loads, 0 AS shard
+  UNION ALL SELECT i, list_transform(range(1, 25), lambda k: loads[k] + CASE WHEN k = lightest THEN b ELSE 0 END), lightest::INT - 1 FROM (SELECT u.i, u.b, g.loads, list_position(g.loads, list_min(g.loads)) AS lightest FROM g JOIN u ON u.i = g.i + 1)),
+m AS (SELECT virtual_slot, piece, first, shard, sum(n) OVER (PARTITION BY shard ORDER BY virtual_slot, piece) - n AS base FROM u JOIN g USING (i))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, (base + nth - first)::BIGINT AS slot, NULL::INT AS grown_shard, virtual_slot, piece FROM p JOIN m USING (virtual_slot, piece)"""
+
+QUERIES["op13_sharding"] = sharding.op13_sharding
+ORACLE_SQL["op13_sharding"] = OP13
