@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, ngram_join, packing, passage_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from . import centroids, fingerprints, mixing, ngram_join, packing, passage_dedup, prefix_trie, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -58,3 +58,41 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, (base + nt
 
 QUERIES["op13_sharding"] = sharding.op13_sharding
 ORACLE_SQL["op13_sharding"] = OP13
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The rounds one after the other: the nearest centroid of each vector, then floors of means."""
+    near = "SELECT id, vec_id, x, c.cluster, list_sum(list_transform(range(1, {0}), lambda i: (x[i] - c.c[i]) * (x[i] - c.c[i])))::BIGINT AS d FROM v, c{1} c".replace("{0}", str(dims + 1))
+    best = "a{1} AS MATERIALIZED (SELECT id, vec_id, x, cluster, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster) AS nth FROM (" + near + ")) WHERE nth = 1)"
+    mean = """m{1} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT cluster, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{1}, (SELECT unnest(range(1, {0})) AS i) GROUP BY cluster, i) GROUP BY cluster),
+c{2} AS MATERIALIZED (SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{1} c LEFT JOIN m{1} m USING (cluster))""".replace("{0}", str(dims + 1))
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(best.replace("{1}", str(r)))
+        if r < rounds:
+            steps.append(mean.replace("{1}", str(r)).replace("{2}", str(r + 1)))
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e::DOUBLE))) = {dims}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INT AS cluster, x AS c FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, x FROM v ORDER BY h, x LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, cluster, d AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
+QUERIES["op11_centroids"] = centroids.op11_centroids
+ORACLE_SQL["op11_centroids"] = _clusters_sql()
+
+#: Rebuilt conversations, a name for each prefix, and for each node all nodes on the way of its smallest member.
+OP12 = rf"""WITH {CRC_TABLE},
+t AS (SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS o FROM (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, base, c.n, h, least(h, coalesce(b.n, 0)) AS m FROM (SELECT conv_id, n, conv_id - conv_id % 20 AS base, {CRC.format("conv_id::VARCHAR")} % 4 AS h FROM c, crc) c LEFT JOIN (SELECT conv_id AS base, n FROM c) b USING (base)),
+r AS (SELECT s.conv_id, o AS pos, k, words FROM s JOIN t ON t.conv_id = s.base AND o <= m UNION ALL SELECT s.conv_id, m + o - h, k, words FROM s JOIN t ON t.conv_id = s.conv_id AND o > h),
+p AS (SELECT conv_id, pos, words, sha256(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY pos)) AS key FROM r),
+q AS (SELECT conv_id, pos, words, key, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY pos) AS parent FROM p UNION ALL SELECT conv_id, 0, 0, '', NULL FROM s),
+e AS MATERIALIZED (SELECT conv_id, pos, words, key, parent, pos = m + greatest(n - h, 0) AS is_last FROM q JOIN s USING (conv_id)),
+nd AS MATERIALIZED (SELECT key, max(parent) AS parent, min(conv_id) AS conv_id, pos AS depth, count(*) AS n_convs, (count(*) - 1) * max(words) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_last), '')) AS ends_sha256 FROM e GROUP BY key, pos),
+ch AS (SELECT parent AS key, count(*) AS n FROM nd WHERE parent IS NOT NULL GROUP BY parent),
+sub AS (SELECT e.key, sum(d.own)::BIGINT AS saved_tokens, count(*) FILTER (ch.key IS NULL) AS n_leaves FROM nd d JOIN e ON e.conv_id = d.conv_id AND e.pos <= d.depth LEFT JOIN ch ON ch.key = d.key GROUP BY e.key)
+SELECT nd.conv_id, nd.depth::BIGINT AS depth, pn.conv_id AS parent_conv_id, nd.n_convs, coalesce(ch.n, 0)::BIGINT AS n_children, n_leaves, saved_tokens, nd.ends_sha256 FROM nd JOIN sub USING (key) LEFT JOIN ch USING (key) LEFT JOIN nd pn ON pn.key = nd.parent"""
+
+QUERIES["op12_prefix_trie"] = prefix_trie.op12_prefix_trie
+ORACLE_SQL["op12_prefix_trie"] = OP12
