@@ -1,4 +1,4 @@
-"""Keyword indexes as tables: BM25 and TF-IDF over any corpus (doc_id, text), for many queries at once."""
+"""BM25 over any corpus (doc_id, text), for many queries at once, and the words that keyword searches share."""
 
 from __future__ import annotations
 
@@ -100,50 +100,6 @@ def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, min_score: float = 0
     return ranked(summed(parts).filter(F.col("score") >= min_score), k)
 
 
-def grams(c: Column, most: int = 3) -> Column:
-    """Word n-grams (1 to ``most``) of the words of two or more letters, digits or underscores that are no stop words."""
+def grams(c: Column) -> Column:
+    """The words that n-grams are made of: two or more letters, digits or underscores, and no stop word."""
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
-
-
-def with_grams(df: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
-    """key and g: all n-grams of the text, built within its array of words."""
-    df = df.select(key, grams(F.col(text)).alias("w"))
-    runs = [F.col("w")]
-    for k in range(2, most + 1):  # a run of k words is one of k - 1 and the word after it
-        runs.append(F.zip_with(runs[-1], F.slice("w", F.lit(k), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return df.select(key, F.array_compact(F.concat(*runs)).alias("g"))
-
-
-def gram_rows(df: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
-    """key, term and n of each n-gram (with_grams) that the vocabulary has."""
-    each = df.select(key, F.explode("g").alias("term")).join(vocab.select("term"), "term", "left_semi")
-    return each.groupBy(key, "term").agg(F.count("*").alias("n"))
-
-
-def vocabulary(df: DataFrame, most: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """The most frequent n-grams (with_grams; ties by term) within the bounds of document frequency, with smoothed idf.
-
-    Occurrences and documents of a term are counted in one shuffle of partial sums.
-    """
-    n_docs = df.agg(F.count("*").alias("n_docs"))
-    one = lambda terms, total, docs: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"), F.lit(docs).alias("df")))
-    each = df.select(F.explode(F.concat(one(F.col("g"), 1, 0), one(F.array_distinct("g"), 0, 1))).alias("x")).select("x.*")
-    counts = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-    counts = counts.join(F.broadcast(n_docs)).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
-    return counts.orderBy(F.desc("total"), "term").limit(most).select("term", "df", "total", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-
-def weights(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """L2-normed tf-idf weights with 1 + ln(tf)."""
-    w = rows.join(vocab.select("term", "idf"), "term").withColumn("w", (1 + F.log("n")) * F.col("idf"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def tfidf_scores(corpus: DataFrame, queries: DataFrame, most: int = 5000, n: int = 3, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """query_id, doc_id and cosine similarity (six places) of pairs that share a term of the vocabulary."""
-    docs = with_grams(corpus, "doc_id", "text", n)
-    vocab = vocabulary(docs, most, min_df, max_df)
-    q = weights(gram_rows(with_grams(queries, "query_id", "query", n), "query_id", vocab), vocab, "query_id").withColumnRenamed("w", "qw")
-    d = weights(gram_rows(docs, "doc_id", vocab), vocab, "doc_id")
-    return q.join(d, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))

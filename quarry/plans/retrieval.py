@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import fusion, keyword, vectors
+from quarry.operators import fusion, keyword, tfidf, vectors
 from quarry.sources.tables import table
 
 from .registry import query
@@ -272,13 +272,13 @@ TFIDF = _tfidf_sql("documents", "(SELECT item_id AS query_id, text AS query FROM
 @query(f"WITH {TFIDF} SELECT term, df, CAST(total AS BIGINT) AS total, round(idf, 6) AS idf FROM vocab")
 def tfidf_terms(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    v = keyword.vocabulary(keyword.with_grams(c, "doc_id", "text"), 5000)
+    v = tfidf.vocabulary(c, 5000)
     return v.select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {TFIDF} SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM cosine WHERE score >= 0.02) WHERE rank <= 10")
 def tfidf_topk(spark, sf_dir):
-    found = keyword.tfidf_scores(corpus(spark, sf_dir), questions(spark, sf_dir))
+    found = tfidf.tfidf_scores(corpus(spark, sf_dir), questions(spark, sf_dir))
     return keyword.ranked(found.filter("score >= 0.02"), 10)
 
 
@@ -298,7 +298,7 @@ def tfidf_boosted(spark, sf_dir):
     """Expanded queries, boosts by kind, level, title and length of a chunk; k best, then those above 0.1."""
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
     n = c.count()
-    found = keyword.tfidf_scores(c, q.withColumn("query", T.expand_query(F.col("query"))), 10000, 3, 2, min(0.95, max(0.6, (n - 1) / max(n, 1))))
+    found = tfidf.tfidf_scores(c, q.withColumn("query", T.expand_query(F.col("query"))), 10000, 3, 2, min(0.95, max(0.6, (n - 1) / max(n, 1))))
     rows = found.join(q, "query_id").join(c.select("doc_id", T.word_count(F.col("text")).alias("words")), "doc_id")
     kind = F.when(F.col("doc_id") % 3 == 0, 1.3).when(F.col("doc_id") % 3 == 1, 1.2).otherwise(1.0)
     level = F.when(F.col("doc_id") % 4 + 1 <= 2, 1.2).when(F.col("doc_id") % 4 + 1 == 3, 1.1).otherwise(1.0)
