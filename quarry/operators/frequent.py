@@ -70,8 +70,12 @@ class Summary:
         self.held, self.error = held, 0
         self.key, self.count = np.zeros(0, U), np.zeros(0, np.int64)
 
-    def add(self, key: np.ndarray, count: np.ndarray | None = None) -> None:
-        key, count = np.r_[self.key, key], np.r_[self.count, np.ones(len(key), np.int64) if count is None else count]
+    def add(self, key: np.ndarray) -> None:
+        fresh = Summary(self.held)
+        fresh.key, fresh.count = np.unique(key, return_counts=True)
+        fresh.cut(self.held)  # keys that occur but once mostly go here
+        self.error += fresh.error
+        key, count = np.r_[self.key, fresh.key], np.r_[self.count, fresh.count]
         order = np.argsort(key, kind="stable")
         key, count = key[order], count[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
@@ -107,12 +111,31 @@ def summaries(words: DataFrame, most: int) -> DataFrame:
     return words.select("w").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+class Lookup:
+    """Places of hashes in a sorted array of them; most of those that it lacks are told by their first bits."""
+
+    BITS = 20
+
+    def __init__(self, sorted_hashes: np.ndarray):
+        self.hashes = sorted_hashes
+        self.there = np.zeros(1 << self.BITS, bool)
+        self.there[sorted_hashes >> U(64 - self.BITS)] = True
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which entries of ``h`` are there, and their places."""
+        i = np.flatnonzero(self.there[h >> U(64 - self.BITS)])
+        place = np.searchsorted(self.hashes, h[i])
+        place[place == len(self.hashes)] = 0
+        ok = self.hashes[place] == h[i] if len(i) else np.zeros(0, bool)
+        return i[ok], place[ok]
+
+
 def counted(words: DataFrame, candidates: np.ndarray, most: int) -> DataFrame:
     """h, total, df, and the first place (key, place, k) of each candidate (sorted hashes)."""
     shared = words.sparkSession.sparkContext.broadcast(candidates)
 
     def run(batches):
-        c = shared.value
+        c, look = shared.value, Lookup(shared.value)
         total, df = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
         where = np.zeros((len(c), 3), np.int64)
         for b in batches:
@@ -120,10 +143,8 @@ def counted(words: DataFrame, candidates: np.ndarray, most: int) -> DataFrame:
             keys = b.column("key").to_numpy()
             begins = np.searchsorted(row, np.arange(len(keys)))
             for k, at, h in gram_hashes(w, row, most):
-                place = np.searchsorted(c, h)
-                place[place == len(c)] = 0
-                hit = np.flatnonzero(c[place] == h)
-                place, at = place[hit], at[hit]
+                hit, place = look.hits(h)
+                at = at[hit]
                 of = row[at]
                 fresh, first = np.unique(place, return_index=True)
                 new = total[fresh] == 0
@@ -143,15 +164,13 @@ def term_rows(words: DataFrame, terms: np.ndarray, most: int, then=None, schema:
     shared = words.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        c = shared.value
+        c, look = shared.value, Lookup(shared.value)
         for b in batches:
             w, row = flat(b.column("w"))
             keys, found = b.column("key").to_numpy(), [np.zeros(0, np.int64)]
             for _, at, h in gram_hashes(w, row, most):
-                place = np.searchsorted(c, h)
-                place[place == len(c)] = 0
-                hit = np.flatnonzero(c[place] == h) if len(c) else np.zeros(0, np.int64)
-                found.append(row[at[hit]] * np.int64(len(c)) + place[hit])
+                hit, place = look.hits(h)
+                found.append(row[at[hit]] * np.int64(len(c)) + place)
             pair, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys[pair // max(len(c), 1)]), pa.array(c[pair % max(len(c), 1)].view(np.int64)), pa.array(n)], names=["key", "h", "n"])
 
@@ -196,8 +215,9 @@ def most_frequent(df: DataFrame, key: str, text: str, top: int, most: int = 3, m
 
 def _with_terms(df: DataFrame, key: str, text: str, exact: DataFrame, top: int, n_docs: int) -> DataFrame:
     """The words of the winners, read where they first occur; a table of ``top`` rows made once."""
-    rows = exact.select("h", "total", "df", "at.*").withColumnRenamed("key", "k0")
-    found = df.select(F.col(key).cast("long").alias("k0"), text).join(rows, "k0").withColumn("w", grams(F.col(text)))
+    per = exact.groupBy(F.col("at.key").alias("k0")).agg(F.collect_list(F.struct("h", "total", "df", "at.place", "at.k")).alias("x"))
+    # the words of a row are made once, for all that it has
+    found = df.select(F.col(key).cast("long").alias("k0"), text).join(per, "k0").select(grams(F.col(text)).alias("w"), "x").select("w", F.explode("x").alias("x")).select("w", "x.*")
     term = F.array_join(F.slice("w", (F.col("place") + 1).cast("int"), F.col("k").cast("int")), " ")
     winners = found.select(term.alias("term"), "h", "total", "df").orderBy(F.desc("total"), "term").limit(top).collect()
     return df.sparkSession.createDataFrame([(*r, n_docs) for r in winners], "term string, h long, total long, df long, n_docs long")

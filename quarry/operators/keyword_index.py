@@ -15,9 +15,10 @@ Folders under ``path``; each update is a segment of its own:
 
 Documents lie in ranges by length, so that a block's bound (its largest tf and
 least dl under the query's weights) is near what its documents reach.  A search
-adds up the bounds of a query's terms by range, scores the ranges that promise
-most, and reads of the others only those that can still reach the k-th score:
-the rows are those of scoring everything.
+adds up the bounds of a short query's terms by range, scores the ranges that
+promise most, and reads of the others only those that can still reach the k-th
+score; long queries read all blocks of their terms.  The rows are those of
+scoring everything.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from quarry.operators.keyword import EPSILON, K1, SCALE, B
 RANGE = 256
 #: Ranges of a query that are scored before any is passed over.
 FIRST = 4
+#: Most distinct words of a query whose ranges are passed over by bounds (where that is asked for): those of long queries add up to what no document reaches.
+SHORT = 8
 #: Fixed schemas of the stored tables, with their partitions.
 SCHEMAS = {
     "docs": "doc_id long, dl long, terms array<string>, range long, seg int",
@@ -90,8 +93,8 @@ class KeywordIndex:
     def _segment(self, seg: int, docs: DataFrame, posted: DataFrame, gone: DataFrame, old: list, buckets: int, keep: bool) -> None:
         """Write a segment of docs (doc_id, dl, terms) and posted (doc_id, term, tf), in which ``gone`` (doc_id, dead_seg, dl, terms) no longer count."""
         spark, at = self.spark, lambda name: f"{self.path}/{name}/seg={seg}"
-        # lengths in order, so that the documents of a range are of like length
-        ranged = docs.repartitionByRange("dl", "doc_id").sortWithinPartitions("dl", "doc_id").withColumn("range", F.floor(F.monotonically_increasing_id() / RANGE))
+        # in the order of lengths, so that the documents of a range are of like length
+        ranged = docs.sortWithinPartitions("dl", "doc_id").withColumn("range", F.floor(F.monotonically_increasing_id() / RANGE))
         ranged.write.mode("overwrite").parquet(at("docs"))
         gone.write.mode("overwrite").parquet(at("dead"))
         placed = spark.read.parquet(at("docs")).select("doc_id", "dl", "range")
@@ -181,6 +184,23 @@ class KeywordIndex:
         weighed = asked.join(df.withColumn("idf0", _idf(n)), ["bucket", "term"]).join(F.broadcast(mean))
         return weighed.select("query_id", "bucket", "term", (F.col("qtf") * F.when(F.col("idf0") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf0"))).alias("weight"))
 
+    def statistics(self) -> tuple[DataFrame, DataFrame]:
+        """One row each: n_docs and avgdl; n_terms, n_postings, mean_idf and n_negative (terms of negative idf), from how many terms have which df."""
+        manifest = self.manifest()
+        n = sum(r["docs"] for r in manifest)
+        held = self._read("frequencies", [r["seg"] for r in manifest]).groupBy("df").agg(F.sum("n").alias("n")).filter("n > 0").withColumn("idf0", _idf(n))
+        terms = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.sum(F.col("n") * F.col("df")).alias("n_postings"), (F.sum(F.col("n") * F.col("idf0")) / F.sum("n")).alias("mean_idf"), F.coalesce(F.sum(F.when(F.col("idf0") < 0, F.col("n"))), F.lit(0)).alias("n_negative"))
+        return self.spark.createDataFrame([(n, self._avgdl(manifest))], "n_docs long, avgdl double"), terms
+
+    def postings(self) -> DataFrame:
+        """doc_id, term, tf, dl, df and idf: all postings that count."""
+        manifest = self.manifest()
+        segs, n = [r["seg"] for r in manifest], sum(r["docs"] for r in manifest)
+        df = self._read("terms", segs).groupBy("bucket", "term").agg(F.sum("df").alias("df")).filter("df > 0").withColumn("idf0", _idf(n))
+        _, terms = self.statistics()
+        stats = df.join(F.broadcast(terms.select("mean_idf"))).select("bucket", "term", "df", F.when(F.col("idf0") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf0")).alias("idf"))
+        return self._entries(segs, self._read("postings", segs).select("seg", "bucket", "term", "entries")).join(stats, ["bucket", "term"]).select("doc_id", "term", "tf", "dl", "df", "idf")
+
     def _avgdl(self, manifest: list) -> float:
         return sum(r["words"] for r in manifest) / max(sum(r["docs"] for r in manifest), 1)
 
@@ -221,10 +241,11 @@ class KeywordIndex:
         rest = others.filter(F.col("reached").isNull() | (F.col("bound") + SCALE // 1_000_000 >= F.col("reached")))
         return first.unionByName(parts(rest)), ranges, rest
 
-    def search(self, queries: DataFrame, k: int, min_score: float = 0.0, prune: bool = True) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, min_score: float = 0.0, prune: bool = False) -> DataFrame:
         """The k best documents of each query (query_id, query) with a score of ``min_score`` or more, ties by doc_id, as ``keyword.bm25_top`` gives them."""
         queries, manifest = keyword.not_blank(queries), self.manifest()
-        parts = self.pruned(queries, k, manifest)[0] if prune else self.parts(queries, manifest)
+        few = F.size(F.array_distinct(tokens(F.col("query")))) <= SHORT
+        parts = self.parts(queries.filter(~few), manifest).unionByName(self.pruned(queries.filter(few), k, manifest)[0]) if prune else self.parts(queries, manifest)
         if min_score <= 0:  # documents without a common word fill up short lists
             least = self._live([r["seg"] for r in manifest]).select("doc_id").orderBy("doc_id").limit(2 * k)
             parts = parts.unionByName(queries.select("query_id").distinct().join(F.broadcast(least)).withColumn("part", F.lit(0).cast("long")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import fusion, keyword, tfidf, vectors
+from quarry.sources.store import documents_index
 from quarry.sources.tables import table
 
 from .registry import query
@@ -57,7 +58,7 @@ def twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def both_lists(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
     q = questions(spark, sf_dir)
-    words = keyword.bm25_top(corpus(spark, sf_dir), q, k)
+    words = documents_index(spark, sf_dir).search(q, k)
     e = embeddings(spark, sf_dir)
     asked = e.join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
     return words, vectors.cosine_top(asked, e, k).withColumnRenamed("vec_id", "doc_id")
@@ -65,31 +66,34 @@ def both_lists(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[DataFrame
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score FROM bm")
 def bm25_scores(spark, sf_dir):
-    return keyword.bm25_scores(corpus(spark, sf_dir), questions(spark, sf_dir))
+    return documents_index(spark, sf_dir).scores(questions(spark, sf_dir))
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bmtop WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
-    return keyword.bm25_top(corpus(spark, sf_dir), questions(spark, sf_dir), 20)
+    return documents_index(spark, sf_dir).search(questions(spark, sf_dir), 20)
 
 
 @query(f"""WITH {BM25} SELECT (SELECT n FROM sh) AS n_docs, (SELECT round(avgdl, 6) FROM sh) AS avgdl, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings,
  round(avg(idf0), 6) AS mean_idf, count(*) FILTER (idf0 < 0) AS n_negative FROM t1""")
 def bm25_stats(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    shape = keyword.document_lengths(c).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("a"))
-    df = keyword.postings(c).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(shape))
-    df = df.withColumn("idf0", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    return df.agg(F.max("n_docs").alias("n_docs"), F.round(F.max("a"), 6).alias("avgdl"), F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.round(F.avg("idf0"), 6).alias("mean_idf"), F.count_if(F.col("idf0") < 0).alias("n_negative"))
+    shape, terms = documents_index(spark, sf_dir).statistics()
+    return shape.join(F.broadcast(terms)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings", F.round("mean_idf", 6).alias("mean_idf"), "n_negative")
 
 
 @query(f"WITH {BM25} SELECT doc_id, term, tf, dl, df, round(idf, 6) AS idf FROM p JOIN dl USING (doc_id) JOIN ts USING (term)")
 def bm25_index(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    posted = keyword.postings(c)
-    n = c.count()
-    stats = keyword.term_stats(posted, n).select("term", "df", F.round("idf", 6).alias("idf"))
-    return posted.join(keyword.document_lengths(c), "doc_id").join(stats, "term").select("doc_id", "term", "tf", "dl", "df", "idf")
+    return documents_index(spark, sf_dir).postings().select("doc_id", "term", "tf", "dl", "df", F.round("idf", 6).alias("idf"))
+
+
+SHORT = BM25.replace("SELECT item_id AS query_id, text AS query FROM benchmark", "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query FROM benchmark")
+
+
+@query(f"WITH {SHORT} SELECT query_id, doc_id, score, rank FROM bmtop WHERE rank <= 10")
+def bm25_pruned(spark, sf_dir):
+    """Queries of three words, of which ranges that cannot win are passed over."""
+    q = questions(spark, sf_dir).withColumn("query", F.substring_index("query", " ", 3))
+    return documents_index(spark, sf_dir).search(q, 10, prune=True)
 
 
 @query(f"WITH {VECTORS} SELECT query_id, vec_id, similarity, rank FROM simtop WHERE rank <= 10")
@@ -123,7 +127,7 @@ MINMAX = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(scor
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, round({MINMAX}, 6) AS normalized FROM bmtop WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)")
 def minmax_norm(spark, sf_dir):
-    top = keyword.bm25_top(corpus(spark, sf_dir), questions(spark, sf_dir), 20)
+    top = documents_index(spark, sf_dir).search(questions(spark, sf_dir), 20)
     return fusion.min_max(top, "score", "x").select("query_id", "doc_id", F.round("x", 6).alias("normalized"))
 
 
@@ -163,7 +167,7 @@ def variants(q: DataFrame) -> DataFrame:
 def expanded(spark, sf_dir, k: int) -> DataFrame:
     """Results of all variants of every query, one list after the other."""
     v = variants(questions(spark, sf_dir))
-    found = keyword.bm25_top(corpus(spark, sf_dir), v.select("query_id", "query"), k)
+    found = documents_index(spark, sf_dir).search(v.select("query_id", "query"), k)
     return found.join(v.select("query_id", "original", "query_ord"), "query_id").select(F.col("original").alias("query_id"), "query_ord", "rank", "doc_id", "score")
 
 
@@ -190,14 +194,14 @@ t AS (SELECT query_id, doc_id, reranker_score, CAST(row_number() OVER (PARTITION
 def overfetch_cut(spark, sf_dir):
     """A hundred candidates, reranked, cut to five."""
     q, c = questions(spark, sf_dir), corpus(spark, sf_dir)
-    found = keyword.bm25_top(c, q, 100).join(q, "query_id").join(c, "doc_id")
+    found = documents_index(spark, sf_dir).search(q, 100).join(q, "query_id").join(c, "doc_id")
     return fusion.rerank(found, fusion.lexical_relevance(F.col("query"), F.col("text")), 5).select("query_id", "doc_id", "reranker_score", "final_rank")
 
 
 @query(f"WITH {BM25} SELECT b.query_id, b.doc_id, {RELEVANCE} AS relevance FROM bmtop b JOIN q USING (query_id) JOIN documents d USING (doc_id) WHERE b.rank <= 10")
 def rerank_pairs(spark, sf_dir):
     q, c = questions(spark, sf_dir), corpus(spark, sf_dir)
-    found = keyword.bm25_top(c, q, 10).join(q, "query_id").join(c, "doc_id")
+    found = documents_index(spark, sf_dir).search(q, 10).join(q, "query_id").join(c, "doc_id")
     return found.select("query_id", "doc_id", fusion.lexical_relevance(F.col("query"), F.col("text")).alias("relevance"))
 
 
@@ -215,7 +219,7 @@ SELECT * FROM c WHERE relevance_score >= 3.0""")
 def corrective_filter(spark, sf_dir):
     """Results whose grade reaches the threshold; grades come from a formula offline."""
     q, c = questions(spark, sf_dir), corpus(spark, sf_dir)
-    found = keyword.bm25_top(c, q, 10).join(q, "query_id").join(c, "doc_id")
+    found = documents_index(spark, sf_dir).search(q, 10).join(q, "query_id").join(c, "doc_id")
     grade = F.round(10 * fusion.lexical_relevance(F.col("query"), F.col("text")), 6)
     return fusion.corrective(found, grade, 3.0).select("query_id", "doc_id", "relevance_score")
 
@@ -227,7 +231,7 @@ SELECT *, 'document' AS source_type FROM good UNION ALL SELECT p.page_id, p.url,
 def corrective_web(spark, sf_dir):
     """Relevant results, with pages from a web search (the page of the query's number stands for one) where they are few."""
     q, c = questions(spark, sf_dir), corpus(spark, sf_dir)
-    found = keyword.bm25_top(c, q, 10).join(q, "query_id").join(c, "doc_id")
+    found = documents_index(spark, sf_dir).search(q, 10).join(q, "query_id").join(c, "doc_id")
     grade = F.round(10 * fusion.lexical_relevance(F.col("query"), F.col("text")), 6)
     good = fusion.corrective(found, grade, 3.0).withColumn("item", F.concat(F.lit("Document "), "doc_id"))
     web = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("item"))
@@ -321,6 +325,6 @@ def embed_hash(spark, sf_dir):
 @query(f"""WITH {MULTI}, x AS (SELECT query_id, k, count(*) AS n, max(score) AS s FROM (SELECT query_id, score, rank, unnest([1, 3, 5, 10]) AS k FROM multi WHERE query_ord = 0) WHERE rank <= k GROUP BY ALL)
 SELECT CAST(k AS INT) AS k, round(avg(s), 6) AS avg_score, max(s) AS max_score, min(s) AS min_score, round(avg(CASE WHEN s > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS good_share, count(*) AS n_queries FROM x GROUP BY k""")
 def quality_by_k(spark, sf_dir):
-    top = keyword.bm25_top(corpus(spark, sf_dir), questions(spark, sf_dir), 10)
+    top = documents_index(spark, sf_dir).search(questions(spark, sf_dir), 10)
     each = top.withColumn("k", F.explode(F.array(*map(F.lit, (1, 3, 5, 10))))).filter("rank <= k").groupBy("query_id", "k").agg(F.max("score").alias("s"))
     return each.groupBy("k").agg(F.round(F.avg("s"), 6).alias("avg_score"), F.max("s").alias("max_score"), F.min("s").alias("min_score"), F.round(F.avg(F.when(F.col("s") > 0.5, 1.0).otherwise(0.0)), 6).alias("good_share"), F.count("*").alias("n_queries"))

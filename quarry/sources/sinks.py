@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import keyword
+from quarry.operators.keyword_index import KeywordIndex
 
 
 def write_results(chunks: DataFrame, path: str) -> None:
@@ -14,18 +14,16 @@ def write_results(chunks: DataFrame, path: str) -> None:
     chunks.select(F.concat("chunk", F.lit("\n" + "=" * 80)).alias("value")).write.mode("overwrite").text(f"{path}/txt")
 
 
-def save_index(corpus: DataFrame, path: str) -> None:
-    """A BM25 index: postings and document lengths; counts follow from them."""
-    keyword.postings(corpus).write.mode("overwrite").parquet(f"{path}/postings")
-    keyword.document_lengths(corpus).write.mode("overwrite").parquet(f"{path}/doc_len")
+def save_index(corpus: DataFrame, path: str) -> KeywordIndex:
+    """A stored BM25 index of the corpus, ready to be searched."""
+    return KeywordIndex.build(corpus, path)
 
 
-def extend_index(corpus: DataFrame, path: str, new_path: str) -> None:
-    """The index with new documents; those that it has already are replaced, not added twice."""
-    spark = corpus.sparkSession
-    for name, rows in (("postings", keyword.postings(corpus)), ("doc_len", keyword.document_lengths(corpus))):
-        old = spark.read.parquet(f"{path}/{name}").join(corpus.select("doc_id"), "doc_id", "left_anti")
-        old.unionByName(rows).write.mode("overwrite").parquet(f"{new_path}/{name}")
+def extend_index(corpus: DataFrame, path: str) -> KeywordIndex:
+    """The stored index with new documents; those that it has already are replaced, not added twice."""
+    index = KeywordIndex(corpus.sparkSession, path)
+    index.update(corpus)
+    return index
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -107,8 +107,8 @@ def test_readers(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
     sinks.save_index(docs, f"{tmp_path}/i")
-    sinks.extend_index(spark.createDataFrame([(2, "d"), (3, "e e")], "doc_id long, text string"), f"{tmp_path}/i", f"{tmp_path}/j")
-    got = {(r.doc_id, r.term): r.tf for r in spark.read.parquet(f"{tmp_path}/j/postings").collect()}
+    index = sinks.extend_index(spark.createDataFrame([(2, "d"), (3, "e e")], "doc_id long, text string"), f"{tmp_path}/i")
+    got = {(r.doc_id, r.term): r.tf for r in index.postings().collect()}
     assert got == {(1, "a"): 1, (1, "b"): 1, (2, "d"): 1, (3, "e"): 2}
     assert sinks.insert_missing(docs, docs.limit(1), "doc_id").count() == 2 and sinks.upsert(docs, docs, "doc_id").count() == 2
     assert "p" in sinks.add_column(docs, "p", "double", 0.0).columns
