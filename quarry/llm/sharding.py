@@ -194,7 +194,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, path: str | None = None) -> Da
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """All rows of ``docs``, whole, as Parquet in one folder for each shard, and the map beside them.
+    """All rows of ``docs``, whole, as Parquet in one folder for each shard (``shard=``, with underscores if ``docs`` has such a column), and the map beside them.
 
     A text moves once, to its shard; only rows of slots that are cut are
     numbered together with their texts.
@@ -211,7 +211,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
     pieces = placed(numbered(whole.filter(F.col("virtual_slot").isin(cut)), plan), to).select("row", "shard", "doc_id") if cut else simple.limit(0)
     spread = max(1, work.buckets(docs) // shards)
     out = simple.unionByName(pieces).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.crc32("row.text")), F.lit(spread)))
-    out.repartition("shard", "salt").select("shard", "row.*").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/rows")
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    out.repartition("shard", "salt").select(F.col("shard").alias(name), "row.*").write.partitionBy(name).mode("overwrite").parquet(f"{path}/rows")
 
 
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
