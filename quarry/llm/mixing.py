@@ -148,21 +148,21 @@ def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame
     their decisions and once to their shards.
     """
     rows, _ = _drawn(docs, work.written(mix(docs, seed), "mix"), shards, seed)
-    return in_shards(rows, shards).select("row", "shard")
+    return in_shards(rows, shards, work.buckets(docs)).select("row", "shard")
 
 
-def in_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows dealt to their shards and shuffled there."""
-    # a shard is spread over several tasks, so that it may be large
-    spread = max(1, work.parts(rows.sparkSession) // shards)
-    return rows.repartition(F.col("shard"), F.pmod("place", F.lit(spread))).sortWithinPartitions("shard", "place")
+def in_shards(rows: DataFrame, shards: int, parts: int) -> DataFrame:
+    """Rows dealt to their shards and shuffled there; a shard has its own partitions, ``parts`` or some more in all."""
+    spread = -(-parts // shards)
+    at = F.col("shard") * spread + F.pmod("place", F.lit(spread))
+    return rows.repartitionById(shards * spread, at.cast("int")).sortWithinPartitions("shard", "place")
 
 
 def mix_counts(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, and taken and copies as counted in the shards: one row for each row of ``docs``."""
     rows, mixed = _drawn(docs, work.written(mix(docs, seed), "mix"), shards, seed)
     keys = ["doc_id", "src", "size", "nth"]
-    dealt = in_shards(rows, shards).withColumn("words", F.regexp_count("row.text", F.lit(WORD)).cast("long"))
+    dealt = in_shards(rows, shards, work.buckets(docs)).withColumn("words", F.regexp_count("row.text", F.lit(WORD)).cast("long"))
     counted = dealt.groupBy(*keys).agg(F.sum("words").alias("taken"), F.sum((F.col("words") == F.col("size")).cast("int")).cast("int").alias("copies"))
     out = mixed.drop("taken", "copies").join(counted, keys, "left")
     return out.select("doc_id", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("taken", "long"), ("copies", "int"))))

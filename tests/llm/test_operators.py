@@ -365,6 +365,12 @@ def test_mixing_counts_what_is_drawn(spark, sf, docs, monkeypatch):
     assert queries.QUERIES["op9_mixing"](spark, sf).columns == columns and calls
 
 
+def test_shards_have_even_partitions(spark):
+    rows = spark.range(20_000).select((F.col("id") % 16).cast("int").alias("shard"), F.xxhash64("id").alias("place"))
+    per = mixing.in_shards(rows, 16, 51).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("shard").alias("s")).collect()
+    assert len(per) == 64 and max(r.n for r in per) < 1.25 * 20_000 / 64 and {r.s for r in per} == {1}
+
+
 def test_splitting_tree():
     q = np.array([100, 7, 0, 33])
     table = mixing.split_quotas(q, 5, np.random.default_rng(0))
