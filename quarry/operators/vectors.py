@@ -14,39 +14,30 @@ QUERY_BLOCK, ROW_BLOCK = 512, 4096
 BROADCAST_BYTES = 64 << 20
 
 
+def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix of the unit vectors of a list column, and which of its rows they are; null and zero vectors are left out."""
+    there = np.flatnonzero(~np.asarray(column.is_null()))
+    m = column.take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = m.reshape(len(there), -1) if len(there) else np.zeros((0, 1))
+    norm = np.sqrt((m * m).sum(axis=1))
+    return m[norm > 0] / norm[norm > 0, None], there[norm > 0]
+
+
 def _blocks(df: DataFrame, key: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
     """Rows packed into blocks: ids and vectors as binary columns; null and zero vectors are left out."""
 
     def pack(batches):
-        ids, rows = [], []
-
-        def block():
-            m = np.stack(rows)
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=list(names))
-
         for b in batches:
-            if not b.num_rows:
-                continue
-            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            norm = np.sqrt((m * m).sum(axis=1))
-            for i, x in zip(b.column(0).to_numpy()[norm > 0].tolist(), m[norm > 0] / norm[norm > 0, None], strict=True):
-                ids.append(i)
-                rows.append(x)
-                if len(ids) == size:
-                    yield block()
-                    ids, rows = [], []
-        if ids:
-            yield block()
+            m, there = unit_rows(b.column(1))
+            ids = b.column(0).to_numpy()[there].astype(np.int64)
+            for a in range(0, len(ids), size):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a : a + size].tobytes()], pa.binary()), pa.array([m[a : a + size].tobytes()], pa.binary())], names=list(names))
 
-    return df.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(pack, f"{names[0]} binary, {names[1]} binary")
+    return df.select(key, vector).mapInArrow(pack, f"{names[0]} binary, {names[1]} binary")
 
 
-def cosine_top(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = None, rescaled: bool = False) -> DataFrame:
-    """query_id, vec_id, similarity (six places) and rank of each query's k nearest rows, ties by vec_id.
-
-    floor: least similarity; rescaled: (1 + cosine) / 2.  Each pair of blocks
-    keeps its k best, so what is shuffled grows with queries and blocks only.
-    """
+def best_of_blocks(pairs: DataFrame, k: int, floor: float | None = None, rescaled: bool = False) -> DataFrame:
+    """query_id, vec_id and similarity (six places): of each pair of blocks (qi, qv, ri, rv) the k best rows of every query."""
 
     def score(batches):
         for b in batches:
@@ -63,14 +54,27 @@ def cosine_top(queries: DataFrame, rows: DataFrame, k: int, floor: float | None
                     out[2].append(s[i][near])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "similarity"])
 
+    return pairs.select("qi", "qv", "ri", "rv").mapInArrow(score, "query_id long, vec_id long, similarity double")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k most similar rows of each query, ties by vec_id, with their rank."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def cosine_top(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = None, rescaled: bool = False) -> DataFrame:
+    """query_id, vec_id, similarity (six places) and rank of each query's k nearest rows, ties by vec_id.
+
+    floor: least similarity; rescaled: (1 + cosine) / 2.  Each pair of blocks
+    keeps its k best, so what is shuffled grows with queries and blocks only.
+    """
     left = _blocks(queries, "query_id", "embedding", QUERY_BLOCK, ("qi", "qv"))
     right = _blocks(rows, "vec_id", "embedding", ROW_BLOCK, ("ri", "rv"))
     # query blocks go to all tasks while they are small; beyond that Spark pairs the blocks
     size = left.agg(F.sum(F.length("qv") + F.length("qi"))).head()[0] or 0
-    pairs = right.crossJoin(F.broadcast(left) if size <= BROADCAST_BYTES else left).select("qi", "qv", "ri", "rv")
-    found = pairs.mapInArrow(score, "query_id long, vec_id long, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    pairs = right.crossJoin(F.broadcast(left) if size <= BROADCAST_BYTES else left)
+    return best(best_of_blocks(pairs, k, floor, rescaled), k)
 
 
 def hash_embedding(df: DataFrame, text: str, dims: int = 64) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import fusion, keyword, tfidf, vectors
-from quarry.sources.store import documents_index
+from quarry.sources.store import documents_index, embeddings_index
 from quarry.sources.tables import table
 
 from .registry import query
@@ -101,6 +101,18 @@ def vector_topk(spark, sf_dir):
     return vectors.cosine_top(twentieth(spark, sf_dir), embeddings(spark, sf_dir), 10)
 
 
+@query()
+def vector_probed(spark, sf_dir):
+    """The nearest of the cells probed; recall is held against ``vector_topk`` by a test."""
+    return embeddings_index(spark, sf_dir).search(twentieth(spark, sf_dir), 10)
+
+
+@query(f"WITH {VECTORS} SELECT query_id, vec_id, similarity, rank FROM simtop WHERE rank <= 10")
+def vector_bounded(spark, sf_dir):
+    """The nearest of all, reading only cells whose bound allows one."""
+    return embeddings_index(spark, sf_dir).search(twentieth(spark, sf_dir), 10, probes=4, exact=True)
+
+
 @query(f"WITH {VECTORS} SELECT query_id, vec_id, similarity, rank FROM simtop WHERE rank <= 20 AND similarity >= 0.7")
 def vector_threshold(spark, sf_dir):
     return vectors.cosine_top(twentieth(spark, sf_dir), embeddings(spark, sf_dir), 20, floor=0.7)

@@ -2,12 +2,13 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import frequent, keyword, keyword_index, tfidf
+from quarry.operators import frequent, keyword, keyword_index, tfidf, vector_index, vectors
 from quarry.operators.keyword_index import KeywordIndex
 from quarry.plans import registry
 
@@ -113,7 +114,7 @@ def test_an_empty_index(spark, asked, tmp_path):
     index = KeywordIndex.build(frame(spark, []), f"file://{tmp_path}/i", 2)
     assert index.search(asked, 3).count() == 0 and index.search(asked, 3, prune=True).count() == 0
     index.update(frame(spark, [(1, "w7"), (2, "x"), (3, "y")]))
-    assert [r.doc_id for r in index.search(asked.filter("query_id = 1"), 3).collect()] == [1]
+    assert [r.doc_id for r in index.search(asked.filter("query_id = 1"), 1).collect()] == [1]
 
 
 # frequent n-grams
@@ -163,3 +164,52 @@ def test_tfidf_by_candidates_and_by_counting_all(spark, monkeypatch):
     monkeypatch.setattr(frequent, "most_frequent", lambda *_: None)
     other = sorted(map(tuple, tfidf.tfidf_scores(frame(spark, rows), q, 60).collect()))
     assert len(one) > 50 and [r[:2] for r in one] == [r[:2] for r in other] and np.allclose([r[2] for r in one], [r[2] for r in other], atol=2e-6)
+
+
+# vectors
+
+
+def points(seed: int, n: int, dims: int = 16):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(30, dims))
+    x = centres[rng.integers(0, 30, n)] + rng.normal(size=(n, dims)) * 0.4
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(n, None), (n + 1, [0.0] * dims), (n + 2, x[3].tolist())]
+    return rows
+
+
+VECTOR = "vec_id long, embedding array<double>"
+
+
+def test_vector_cells(spark, tmp_path, monkeypatch):
+    """Every row is in a cell; probes find nine of ten, bounds find all, also after additions and with a cell that holds most rows."""
+    monkeypatch.setattr(vector_index, "CELL_ROWS", 50)
+    rows = points(1, 2000)
+    rows += [(5000 + i, rows[7][1]) for i in range(600)]  # one cell holds a quarter
+    index = vector_index.VectorIndex.build(spark.createDataFrame(rows[:2300], VECTOR).repartition(3), f"file://{tmp_path}/v", 40)
+    index.add(spark.createDataFrame(rows[2300:], VECTOR))
+    assert sum(r["n"] for r in index._cells()) == len(rows) - 2
+    every = spark.createDataFrame(rows, VECTOR)
+    q = every.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    want = {(r.query_id, r.rank): (r.vec_id, r.similarity) for r in vectors.cosine_top(q, every, 10).collect()}
+    exact = {(r.query_id, r.rank): (r.vec_id, r.similarity) for r in index.search(q, 10, probes=2, exact=True).collect()}
+    assert exact == want
+    assert index._cells()[0]["probes"] < 20  # vectors that lie in groups need few
+    found = {(r.query_id, r.vec_id) for r in index.search(q, 10).collect()}
+    assert sum((i, v) in found for (i, _), (v, _) in want.items()) >= 0.9 * len(want)
+    few = index.search(spark.createDataFrame(rows[:1], VECTOR).withColumnRenamed("vec_id", "query_id"), 3, probes=2)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    (read,) = re.findall(r"PartitionFilters: \[[^]]*cell#\d+ IN \(([\d,]+)\)", plan)
+    assert len(read.split(",")) == 2  # only the partitions of these cells are read
+
+
+def test_vector_index_of_nothing(spark, tmp_path):
+    index = vector_index.VectorIndex.build(spark.createDataFrame([(1, None), (2, [0.0, 0.0])], VECTOR), f"file://{tmp_path}/v")
+    assert index.search(spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>"), 3, exact=True).count() == 0
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_recall_of_probes(spark, sf, size):
+    sf = sf.replace("0.001", size)
+    want = {(r.query_id, r.vec_id) for r in registry.QUERIES["vector_topk"](spark, sf).collect()}
+    got = {(r.query_id, r.vec_id) for r in registry.QUERIES["vector_probed"](spark, sf).collect()}
+    assert len(want & got) >= 0.9 * len(want)
