@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.sources.tables import LIBRARY_SQL, library, table
+from quarry.streaming import stateful
 
 from .registry import query
 
@@ -190,3 +191,11 @@ def ratio_summary(spark, sf_dir):
     """Mean and greatest ratio of a measurement: characters a word, by source."""
     ratio = F.length("text") / F.greatest(F.lit(1), T.word_count(F.col("text")))
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg(ratio), 6).alias("mean_ratio"), F.round(F.max(ratio), 6).alias("max_ratio"))
+
+
+@query("""SELECT a.user_id, a.event_id AS first_id, b.event_id AS second_id FROM (SELECT * FROM events WHERE event_type = 'click') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b
+ ON b.user_id = a.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""")
+def followed_clicks(spark, sf_dir):
+    """Purchases within an hour of a click; the same operator runs over two streams."""
+    events = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    return stateful.followed(events.filter("event_type = 'click'"), events.filter("event_type = 'purchase'")).select("user_id", "first_id", "second_id")

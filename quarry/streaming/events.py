@@ -1,13 +1,9 @@
-"""Streams of events and of documents: windows with watermarks, sessions, limits and lockouts with state."""
+"""Streams of events and of documents: windows with watermarks, sessions, ingest; operators with expiring state are in ``stateful``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators.chunking import semantic_chunks
 
@@ -34,59 +30,6 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("t", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def allowed(times: list[int], log: list[int], limit: int, window_us: int) -> tuple[list[bool], list[int]]:
-    """Which requests a sliding log accepts; only accepted ones enter it."""
-    out = []
-    for t in times:
-        log = [x for x in log if x > t - window_us]
-        ok = len(log) < limit
-        if ok:
-            log.append(t)
-        out.append(ok)
-    return out, log
-
-
-def rate_limit(events: DataFrame, limit: int = 100, window_s: int = 60) -> DataFrame:
-    """event_id, user_id, accepted; the log of a user's accepted requests is state."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        log = list(state.get[0]) if state.exists else []
-        ok, log = allowed(rows["us"].tolist(), log, limit, window_s * 1_000_000)
-        state.update((log,))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "user_id": key[0], "accepted": ok})
-
-    keyed = events.select("event_id", "user_id", F.unix_micros("t").alias("us"))
-    return keyed.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, accepted boolean", "log array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def locked(rows: list[tuple[int, bool]], failures: int, last: int, limit: int, block_us: int) -> tuple[list[bool], int, int]:
-    """Which attempts (time, failed) meet a lock: ``limit`` failures close the account for a time; a success clears the count."""
-    out = []
-    for t, failed in rows:
-        shut = failures >= limit and t < last + block_us
-        out.append(shut)
-        if failures >= limit and not shut:
-            failures = 0
-        if not shut:
-            failures, last = (failures + 1, t) if failed else (0, last)
-    return out, failures, last
-
-
-def lockout(events: DataFrame, limit: int = 5, block_s: int = 300) -> DataFrame:
-    """event_id, user_id, locked for each event; events of type error are failures."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        n, last = state.get if state.exists else (0, 0)
-        out, n, last = locked(list(zip(rows["us"].tolist(), rows["failed"].tolist(), strict=True)), n, last, limit, block_s * 1_000_000)
-        state.update((n, last))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "user_id": key[0], "locked": out})
-
-    keyed = events.select("event_id", "user_id", F.unix_micros("t").alias("us"), (F.col("event_type") == "error").alias("failed"))
-    return keyed.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, locked boolean", "failures long, last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def ingest(spark: SparkSession, folder: str, schema, target: str, checkpoint: str):
     """Documents that arrive as Parquet files become chunks; a file is taken up once.  The query, which stops when all is done."""
 

@@ -134,11 +134,6 @@ def test_vectors_with_null_and_zero(spark):
     assert vectors.hash_embedding(spark.createDataFrame([(1, " ")], "i int, t string"), "t").head().embedding is None
 
 
-def test_limits():
-    assert stream.allowed([0, 1, 2, 61], [], 2, 60) == ([True, True, False, True], [61])
-    assert stream.locked([(i, True) for i in range(7)] + [(400, False)], 0, 0, 5, 300)[0] == [False] * 5 + [True] * 2 + [False]
-
-
 def drain(spark, df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
     q.processAllAvailable()
@@ -154,9 +149,6 @@ def test_streams(spark, sf, tmp_path):
     assert drain(spark, stream.sliding(read()), "t2", "complete").agg(F.sum("n")).head()[0] == 4 * events.count()
     assert drain(spark, stream.sessions(read()), "t3").agg(F.sum("n")).head()[0] > 0
     assert drain(spark, stream.distinct_events(read()), "t4").count() == events.count()
-    limited = drain(spark, stream.rate_limit(read(), 1, 3600), "t5").toPandas()
-    assert len(limited) == events.count() and 0 < limited["accepted"].sum() < len(limited)
-    assert drain(spark, stream.lockout(read()), "t6").count() == events.count()
 
 
 def test_ingest(spark, sf, tmp_path):
