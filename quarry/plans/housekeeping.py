@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources.merged import Library
+from quarry.sources.store import new_folder
 from quarry.sources.tables import LIBRARY_SQL, library, table
 from quarry.streaming import stateful
 
+from .chunks import CHUNKS
 from .registry import query
 
 
@@ -199,3 +202,36 @@ def followed_clicks(spark, sf_dir):
     """Purchases within an hour of a click; the same operator runs over two streams."""
     events = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     return stateful.followed(events.filter("event_type = 'click'"), events.filter("event_type = 'purchase'")).select("user_id", "first_id", "second_id")
+
+
+#: What ``changed_library`` does to all documents, as the state it leaves.
+CHANGED = f"""{LIBRARY_SQL}, st AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'New ' || title ELSE title END AS title, CASE WHEN status = 'processing' OR doc_id % 5 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 700) ELSE text END AS text FROM lib WHERE doc_id % 13 <> 0 AND (doc_id % 11 <> 0 OR doc_id % 5 = 0))"""
+
+
+def changed(spark, sf_dir) -> Library:
+    """Documents that are taken up, stopped short and recovered, renamed and cut, deleted softly and for good, with a snapshot on the way and an epoch sent twice."""
+    docs, out = library(spark, sf_dir).select("doc_id", "title", "status", "text"), Library(spark, new_folder(spark, "library"))
+    busy = F.col("status") == "processing"
+    out.upsert(0, docs.filter(~busy))
+    out.upsert(1, docs.filter(busy), chunked=False)
+    out.delete(2, docs.filter("doc_id % 11 = 0"), soft=True)
+    out.compact()
+    out.recover(3, before=10)
+    fifth = docs.filter("doc_id % 5 = 0").select("doc_id", F.concat(F.lit("New "), "title").alias("title"), F.lit("completed").alias("status"), F.substring("text", 1, 700).alias("text"))
+    for _ in range(2):
+        out.upsert(4, fifth)
+    out.delete(5, docs.filter("doc_id % 13 = 0"))
+    return out
+
+
+@query(f"WITH {CHANGED} SELECT doc_id, title, status, CAST(length(text) AS BIGINT) AS chars FROM st")
+def changed_documents(spark, sf_dir):
+    """The documents of a library after all its changes, merged as they are read."""
+    return changed(spark, sf_dir).documents().select("doc_id", "title", "status", F.length("text").cast("long").alias("chars"))
+
+
+@query("WITH RECURSIVE " + CHANGED + ", " + CHUNKS.split("RECURSIVE ", 1)[1].replace("FROM documents", "FROM st") + " SELECT doc_id, count(*) AS n_chunks, sha256(string_agg(sha256(chunk), ',' ORDER BY i)) AS chunks_sha256 FROM chunks GROUP BY doc_id")
+def changed_chunks(spark, sf_dir):
+    """The chunks of these documents: those of the last upsert, without those of documents that are gone."""
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("chunk_order", F.sha2("chunk", 256).alias("h")))), lambda x: x["h"])
+    return changed(spark, sf_dir).chunks().groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sha2(F.array_join(hashes, ","), 256).alias("chunks_sha256"))
