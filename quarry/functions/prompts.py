@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEMPLATES = {
@@ -50,3 +50,17 @@ def with_history(history: Column, documents: Column) -> Column:
     """What there is of an earlier conversation and of documents; null where there is neither."""
     part = lambda head, c: F.when(c != "", F.concat(F.lit(head), c))
     return F.nullif(F.array_join(F.array_compact(F.array(part("Previous Conversation:\n", history), part("Relevant Documents:\n", documents))), "\n\n=====\n\n"), F.lit(""))
+
+
+#: What is said where nothing relevant was found.
+NO_ANSWER = "Nothing was found that answers the question. Put it differently or tell more."
+
+
+def synthesis(queries: DataFrame, relevant: DataFrame, most: int = 5, chars: int = 300) -> DataFrame:
+    """query_id, answerable and prompt: the question with the ``most`` best relevant rows (query_id, place, title, source_type, text), the first ``chars`` characters of each."""
+    best = F.slice(F.array_sort(F.collect_list(F.struct("place", "title", "source_type", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")))), 1, most)
+    lines = blocks(F.col("best"), lambda s, i: F.concat(F.lit("["), i, F.lit("] "), s["title"], F.lit(" ("), s["source_type"], F.lit("):\n"), s["text"]))
+    context = relevant.groupBy("query_id").agg(best.alias("best")).select("query_id", F.array_join(lines, "\n\n").alias("context"))
+    asked = F.concat(F.lit("Answer from the context; cite what comes from the web.\nContext:\n"), "context", F.lit("\nQuestion: "), "query", F.lit("\nAnswer:"))
+    there = F.col("context").isNotNull()
+    return queries.join(context, "query_id", "left").select("query_id", there.alias("answerable"), F.when(there, asked).otherwise(F.lit(NO_ANSWER)).alias("prompt"))

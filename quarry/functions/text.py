@@ -132,6 +132,7 @@ def invalid_citations(cited: Column, n_sources: Column) -> Column:
 
 def expansions_of(response: Column, n: int) -> Column:
     """Queries in a model's reply: numbered or bulleted lines of 5 to 200 characters; else parts between stops."""
+    #: What marks a line that is no query.
     skip = ("alternative", "query:", "queries:", "example:", "original:", "here are", "generated")
     lines = F.filter(F.transform(F.split(trim_ws(response), "\n"), trim_ws), lambda x: (x != "") & ~any_of(x, skip, lower=True))
     bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\d+[.)]\s*", ""), r"^[-•*]\s*", ""), r"""^["']+|["']+$""", ""))
@@ -193,3 +194,29 @@ def sentence_boundary(text: Column, target: Column | int) -> Column:
     right = F.length(F.regexp_extract(after, r"(?s)^(.*?[.!?])(?=\s|$)", 1))
     lo, hi = F.when(left > 0, left), F.when(right > 0, target + right)
     return F.when(hi.isNull() | (target - lo <= hi - target), lo).otherwise(hi)
+
+
+#: What an error message holds, in this order, and the kind that it tells.
+ERROR_KINDS = (
+    (("max_tokens", "maximum context length", "context length"), "context"),
+    (("out of memory",), "memory"),
+    (("model not found", "no such file"), "model"),
+    (("timeout",), "timeout"),
+)
+#: Kinds by status where the body tells nothing.
+STATUS_KINDS = ((400, "bad request"), (404, "endpoint"), (500, "internal"), (503, "unavailable"))
+
+
+def service_error(body: Column, status: Column) -> Column:
+    """A service's error as a struct of kind and detail: by the message in its JSON body, else by its status with the first 200 characters of the body."""
+    error = F.get_json_object(F.when(F.is_valid_utf8(body), body), "$.error")
+    message = F.coalesce(F.get_json_object(error, "$.message"), error)
+    kind = F.lit("other")
+    for parts, name in reversed(ERROR_KINDS):
+        # the first kind is told by case as well
+        kind = F.when(any_of(message, parts, lower=name != "context"), name).otherwise(kind)
+    by_status = F.concat(F.lit("http "), status.cast("string"))
+    for code, name in STATUS_KINDS:
+        by_status = F.when(status == code, name).otherwise(by_status)
+    told = message.isNotNull()
+    return F.struct(F.when(told, kind).otherwise(by_status).alias("kind"), F.when(told, message).otherwise(F.substring(F.coalesce(body, F.lit("")), 1, 200)).alias("detail"))

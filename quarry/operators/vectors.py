@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block.
@@ -77,6 +77,13 @@ def cosine_top(queries: DataFrame, rows: DataFrame, k: int, floor: float | None
     return best(best_of_blocks(pairs, k, floor, rescaled), k)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors in a row; 0.0 where one is zero, null where one is null."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norms = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(norms > 0, dot(a, b) / norms).when(norms == 0, 0.0)
+
+
 def hash_embedding(df: DataFrame, text: str, dims: int = 64) -> DataFrame:
     """Adds ``embedding``: a deterministic stand-in for a model, signed counts of word hashes, L2-normed; blank text gives null."""
     @F.pandas_udf("array<double>")

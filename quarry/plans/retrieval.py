@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.prompts import NO_ANSWER, synthesis
 from quarry.operators import fusion, keyword, tfidf, vectors
+from quarry.sources.readers import with_fallback
 from quarry.sources.store import documents_index, embeddings_index
 from quarry.sources.tables import table
 
@@ -256,13 +258,21 @@ cut AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id O
 good AS (SELECT query_id, doc_id, reranker_score, round(10 * reranker_score, 6) AS relevance_score, final_rank FROM cut WHERE round(10 * reranker_score, 6) >= 2.0)"""
 
 
-def enhanced(spark, sf_dir) -> DataFrame:
-    """Expand, retrieve, keep first occurrences, rerank by the original query, cut, and drop what is graded irrelevant: one plan."""
-    found = fusion.first_wins(expanded(spark, sf_dir, 30))
+def enhanced(spark, sf_dir, watch: dict[str, Observation] | None = None) -> DataFrame:
+    """Expand, retrieve, keep first occurrences, rerank by the original query, cut, and drop what is graded irrelevant: one plan.
+
+    watch: observations of the stages ``retrieved``, ``unique``, ``cut`` and
+    ``relevant``, which count the stages' rows as they pass, without another run.
+    """
+
+    def seen(df: DataFrame, stage: str) -> DataFrame:
+        return df.observe(watch[stage], F.count("*").alias("rows")) if watch else df
+
+    found = seen(fusion.first_wins(seen(expanded(spark, sf_dir, 30), "retrieved")), "unique")
     placed = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("query_ord", "rank")))
     rows = placed.join(questions(spark, sf_dir), "query_id").join(corpus(spark, sf_dir), "doc_id")
-    best = fusion.rerank(rows, fusion.lexical_relevance(F.col("query"), F.col("text")), 5)
-    return fusion.corrective(best, F.round(10 * F.col("reranker_score"), 6), 2.0)
+    best = seen(fusion.rerank(rows, fusion.lexical_relevance(F.col("query"), F.col("text")), 5), "cut")
+    return seen(fusion.corrective(best, F.round(10 * F.col("reranker_score"), 6), 2.0), "relevant")
 
 
 @query(f"WITH {ENHANCED} SELECT query_id, doc_id, reranker_score, relevance_score, final_rank FROM good")
@@ -270,6 +280,41 @@ def enhanced_search(spark, sf_dir):
     return enhanced(spark, sf_dir).select("query_id", "doc_id", "reranker_score", "relevance_score", "final_rank")
 
 
+@query(f"""WITH {ENHANCED}, fsim AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({COS}, 6) AS similarity FROM embeddings a JOIN q0 ON q0.query_id = a.vec_id AND q0.query_id NOT IN (SELECT query_id FROM good), embeddings b)
+SELECT query_id, doc_id, reranker_score AS score, final_rank AS rank, FALSE AS fallback FROM good UNION ALL
+SELECT * FROM (SELECT query_id, doc_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INT) AS rank, TRUE FROM fsim) WHERE rank <= 5""")
+def enhanced_or_plain(spark, sf_dir):
+    """Enhanced search, and plain vector search for the queries of which it leaves nothing."""
+    good = enhanced(spark, sf_dir).select("query_id", "doc_id", F.col("reranker_score").alias("score"), F.col("final_rank").alias("rank"), F.lit(False).alias("fallback"))
+    e = embeddings(spark, sf_dir)
+    asked = e.join(questions(spark, sf_dir).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
+    plain = vectors.cosine_top(asked, e, 5).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"), "rank", F.lit(True).alias("fallback"))
+    return with_fallback(good, plain)
+
+
+@query(f"""WITH {ENHANCED}, m AS (SELECT query_id, count(DISTINCT query_ord) AS n_queries, count(*) AS n_retrieved FROM multi GROUP BY query_id),
+u AS (SELECT query_id, count(*) AS n_unique FROM firsts GROUP BY query_id), g AS (SELECT query_id, count(*) AS n_results FROM good GROUP BY query_id)
+SELECT q0.query_id, coalesce(n_queries, 0) AS n_queries, coalesce(n_retrieved, 0) AS n_retrieved, coalesce(n_unique, 0) AS n_unique, coalesce(n_unique, 0) > 5 AS reranking_applied, coalesce(n_results, 0) AS total_results, n_results IS NULL AS fallback
+FROM q0 LEFT JOIN m USING (query_id) LEFT JOIN u USING (query_id) LEFT JOIN g USING (query_id)""")
+def pipeline_info(spark, sf_dir):
+    """What the stages of enhanced search did for each query."""
+    found = expanded(spark, sf_dir, 30)
+    per = found.groupBy("query_id").agg(F.count_distinct("query_ord").alias("n_queries"), F.count("*").alias("n_retrieved"), F.count_distinct(F.when(F.col("doc_id") != 0, F.col("doc_id"))).alias("n_unique"))
+    left = enhanced(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("total_results"))
+    all_ = questions(spark, sf_dir).select("query_id").join(per, "query_id", "left").join(left, "query_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return all_.select("query_id", zero("n_queries"), zero("n_retrieved"), zero("n_unique"), (F.coalesce("n_unique", F.lit(0)) > 5).alias("reranking_applied"), zero("total_results"), F.col("total_results").isNull().alias("fallback"))
+
+
+@query(f"""WITH {ENHANCED}, s AS (SELECT g.query_id, row_number() OVER (PARTITION BY g.query_id ORDER BY final_rank) AS n, 'Document ' || g.doc_id AS title, substr(d.text, 1, 300) AS content FROM good g JOIN documents d USING (doc_id)),
+c AS (SELECT query_id, string_agg('[' || n || '] ' || title || ' (document):' || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS context FROM s WHERE n <= 5 GROUP BY query_id)
+SELECT q0.query_id, c.query_id IS NOT NULL AS answerable, CASE WHEN c.query_id IS NULL THEN '{NO_ANSWER}' ELSE 'Answer from the context; cite what comes from the web.' || chr(10) || 'Context:' || chr(10) || context || chr(10) || 'Question: ' || q0.query || chr(10) || 'Answer:' END AS prompt FROM q0 LEFT JOIN c USING (query_id)""")
+def synthesis_prompts(spark, sf_dir):
+    """The last step of corrective search: a prompt from the five best relevant results, or what is said where there are none."""
+    good = enhanced(spark, sf_dir).select("query_id", F.col("final_rank").alias("place"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.lit("document").alias("source_type"), "text")
+    return synthesis(questions(spark, sf_dir), good)
+
+
 def _tfidf_sql(texts: str, queries: str, most: int, n: int, bounds: str = "") -> str:
     words = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN " + STOP + ")"
     cuts = " UNION ALL ".join(f"SELECT k, array_to_string(w[i : i + {j - 1}], ' ') AS term FROM (SELECT k, w, unnest(range(1, len(w) - {j - 2})) AS i FROM {{0}})" for j in range(1, n + 1))
@@ -340,3 +385,12 @@ def quality_by_k(spark, sf_dir):
     top = documents_index(spark, sf_dir).search(questions(spark, sf_dir), 10)
     each = top.withColumn("k", F.explode(F.array(*map(F.lit, (1, 3, 5, 10))))).filter("rank <= k").groupBy("query_id", "k").agg(F.max("score").alias("s"))
     return each.groupBy("k").agg(F.round(F.avg("s"), 6).alias("avg_score"), F.max("s").alias("max_score"), F.min("s").alias("min_score"), F.round(F.avg(F.when(F.col("s") > 0.5, 1.0).otherwise(0.0)), 6).alias("good_share"), F.count("*").alias("n_queries"))
+
+
+@query(f"""SELECT a.vec_id, round(CASE WHEN a.vec_id % 10 = 0 THEN 0.0 ELSE {COS} END, 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine_pairs(spark, sf_dir):
+    """Cosine of each vector with the next; every tenth one is put to zero, whose cosine is 0."""
+    e = embeddings(spark, sf_dir)
+    zeroed = F.when(F.col("vec_id") % 10 == 0, F.transform("embedding", lambda x: x * F.lit(0).cast("float"))).otherwise(F.col("embedding"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.select("vec_id", zeroed.alias("embedding")).join(nxt, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
