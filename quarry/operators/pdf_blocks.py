@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import any_of, trim_ws
 
-#: Parameter sets by kind of document.
+#: Parameter sets by kind of document.
 PROFILES = {
     "default": {"chunk_words": 500, "overlap_words": 50},
     "technical": {"chunk_words": 600, "overlap_words": 80},
@@ -113,40 +112,70 @@ def attach_images(chunks: DataFrame, images: DataFrame) -> DataFrame:
     return pages.join(images, ["doc_id", "page"]).select("chunk_id", "image_id").distinct()
 
 
-def chunk_rows(pdf: pd.DataFrame, chunk_words: int, overlap_words: int, least: int = 50, keep_short: bool = False) -> list[tuple]:
-    """Chunks of one document's blocks: headings end a chunk of more than ``least`` words, ``chunk_words`` end it anywhere, with an overlap."""
-    out, buffer, pages, title = [], [], set(), ""
-
-    def flush(overlap: bool) -> None:
-        words = " ".join(buffer).split()
-        out.append((len(out), title, "\n".join(buffer), sorted(pages), len(words)))
-        buffer[:] = [" ".join(words[-overlap_words:])] if overlap and overlap_words else []
-        if not overlap:
-            pages.clear()
-
-    for b in pdf.sort_values(["page", "ordinal"]).itertuples():
-        n = len(" ".join(buffer).split())
-        if b.kind == "heading":
-            if n > least or (keep_short and n):
-                flush(False)
-            title = b.text.strip()
-        else:
-            buffer.append(b.text.strip())
-            pages.add(int(b.page))
-            if n + len(b.text.split()) >= chunk_words:
-                flush(True)
-    n = len(" ".join(buffer).split())
-    if n > least or (keep_short and n):
-        flush(False)
-    return out
+class RunningChunks:
+    """Chunks of one document's blocks, which come one after the other in the order of pages.
 
+    A heading ends a chunk of more than ``least`` words (a shorter one goes on
+    under it), ``chunk_words`` end one anywhere, and its last ``overlap_words``
+    begin the next.  What is held is the chunk that is open.
+    """
 
-def chunks(blocks: DataFrame, name: str = "default", keep_short: bool = False) -> DataFrame:
-    """doc_id, chunk_id, title, text, pages and words of the chunks of typed blocks; a document is one group."""
-    p = profile(name)
+    def __init__(self, least: int = 50):
+        self.least, self.made = least, 0
+        self.buffer: list[str] = []
+        self.pages: set[int] = set()
+        self.words, self.title = 0, ""
+
+    def _cut(self, overlap_words: int | None) -> tuple:
+        out = (self.made, self.title, "\n".join(self.buffer), sorted(self.pages), self.words)
+        self.made += 1
+        if overlap_words is None:  # a heading or the end: nothing goes on
+            self.pages.clear()
+        tail = " ".join(self.buffer).split()[-overlap_words:] if overlap_words else []
+        # a chunk in the middle of a section goes on with its last words, be there any
+        self.buffer, self.words = [" ".join(tail)] if overlap_words else [], len(tail)
+        return out
+
+    def _open(self, keep_short: bool) -> bool:
+        return self.words > self.least or (keep_short and self.words > 0)
+
+    def add(self, kind: str, text: str | None, page: int, chunk_words: int, overlap_words: int, keep_short: bool):
+        text = (text or "").strip()
+        if kind == "heading":
+            if self._open(keep_short):
+                yield self._cut(None)
+            self.title = text
+            return
+        self.buffer.append(text)
+        self.pages.add(int(page))
+        self.words += len(text.split())
+        if self.words >= chunk_words:
+            yield self._cut(overlap_words)
+
+    def end(self, keep_short: bool):
+        if self._open(keep_short):
+            yield self._cut(None)
+
+
+@F.udtf(returnType="doc_id long, chunk_id int, title string, text string, pages array<int>, words int")
+class PdfChunks:
+    """Chunks of typed blocks, a document in each partition and its blocks in order: one pass, whatever its length."""
+
+    def __init__(self):
+        self.running, self.doc, self.keep_short = RunningChunks(), None, False
+
+    def eval(self, row, chunk_words: int, overlap_words: int, keep_short: bool):
+        self.doc, self.keep_short = row["doc_id"], keep_short
+        for made in self.running.add(row["kind"], row["text"], row["page"], chunk_words, overlap_words, keep_short):
+            yield (self.doc, *made)
+
+    def terminate(self):
+        for made in self.running.end(self.keep_short):
+            yield (self.doc, *made)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = chunk_rows(pdf, p["chunk_words"], p["overlap_words"], keep_short=keep_short)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["doc_id", "chunk_id", "title", "text", "pages", "words"])
 
-    return blocks.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_id int, title string, text string, pages array<int>, words int")
+def chunks(blocks: DataFrame, name: str = "default", keep_short: bool = False) -> DataFrame:
+    """doc_id, chunk_id, title, text, pages and words of the chunks of typed blocks."""
+    p = profile(name)
+    table = blocks.select("doc_id", "page", "ordinal", "kind", "text").asTable().partitionBy("doc_id").orderBy("page", "ordinal")
+    return PdfChunks(table, F.lit(p["chunk_words"]), F.lit(p["overlap_words"]), F.lit(keep_short))

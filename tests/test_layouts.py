@@ -1,5 +1,7 @@
 """Prompts, tables in PDF pages, folder ingest, backfill and settings, on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,48 @@ def test_options():
     assert Options().override(k=None, rerank=False) == Options(rerank=False)
     with pytest.raises(TypeError):
         Options().override(none_such=1)
+
+
+def plain_chunks(blocks, chunk_words, overlap_words, keep_short):
+    """Chunks of (kind, text, page) by joining and splitting all that is open at every block."""
+    out, buffer, pages, title = [], [], set(), ""
+    for kind, text, page in blocks:
+        n = len(" ".join(buffer).split())
+        if kind == "heading":
+            if n > 50 or (keep_short and n):
+                out.append((title, "\n".join(buffer), sorted(pages), n))
+                buffer, pages = [], set()
+            title = text.strip()
+            continue
+        buffer.append(text.strip())
+        pages.add(page)
+        words = " ".join(buffer).split()
+        if len(words) >= chunk_words:
+            out.append((title, "\n".join(buffer), sorted(pages), len(words)))
+            buffer = [" ".join(words[-overlap_words:])] if overlap_words else []
+    n = len(" ".join(buffer).split())
+    if n > 50 or (keep_short and n):
+        out.append((title, "\n".join(buffer), sorted(pages), n))
+    return out
+
+
+@pytest.mark.parametrize("name,keep_short", [("default", False), ("presentation", True)])
+def test_chunks_in_one_pass(spark, name, keep_short):
+    """Each document is a partition of a table function: the chunks of the plain version, in any order of rows."""
+    rng, rows, want = random.Random(name), [], {}
+    for doc in range(12):
+        own = [(rng.choice(["heading"] + ["paragraph"] * 6), " ".join("w" * rng.randint(1, 5) for _ in range(rng.choice((0, 4, 30, 150)))), i // 5) for i in range(60 if doc else 0)]
+        rows += [(doc, page, i, text, kind) for i, (kind, text, page) in enumerate(own)]
+        p = pdf_blocks.profile(name)
+        want |= {(doc, k): c for k, c in enumerate(plain_chunks(own, p["chunk_words"], p["overlap_words"], keep_short))}
+    df = spark.createDataFrame(rows, "doc_id long, page int, ordinal int, text string, kind string").repartition(5)
+    got = {(r.doc_id, r.chunk_id): (r.title, r.text, list(r.pages), r.words) for r in pdf_blocks.chunks(df, name, keep_short).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_a_long_document_is_chunked_in_one_pass(spark):
+    """A hundred thousand blocks without a heading; what is open stays small."""
+    n = 100_000
+    blocks = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") / 50).cast("int").alias("page"), (F.col("id") % 50).cast("int").alias("ordinal"), F.lit("ten words of text " * 3).alias("text"), F.lit("paragraph").alias("kind"))
+    got = pdf_blocks.chunks(blocks).agg(F.count("*").alias("n"), F.max("words").alias("most")).head()
+    assert got.most < 520 and abs(got.n - 12 * n / 450) < 200
