@@ -62,7 +62,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, pos (word) and hash of every anchor of every document."""
-    return with_anchors(work.texts(docs), "text", "a").select("doc_id", F.explode("a").alias("a")).select("doc_id", "a.pos", "a.hash")
+    # outer: a filter on the array, which Spark infers otherwise, would make it anew for every entry
+    each = with_anchors(work.texts(docs), "text", "a").select("doc_id", F.explode_outer("a").alias("a")).filter("a is not null")
+    return each.select("doc_id", "a.pos", "a.hash")
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
