@@ -264,11 +264,13 @@ class Known(dict):
 
     def __init__(self, encoder: WordEncoder):
         self.encoder, self.older = encoder, {}
+        # a vocabulary without a table of word hashes keeps all pieces here, in two halves
+        self.most = CACHE_WORDS if encoder.spaced else CACHE_WORDS // 4
 
     def __missing__(self, piece: bytes) -> bytes:
         if (ids := self.older.get(piece)) is None:
             ids = self.encoder.ids_of_piece(piece)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[piece] = ids
