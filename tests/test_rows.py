@@ -1,6 +1,7 @@
 """Sources, sinks and small operators that no query has: fallbacks, databases, result files, logs, images, crawls, running counts."""
 
 import json
+import zlib
 
 import pytest
 from pyspark.sql import Observation
@@ -119,3 +120,15 @@ def test_cosine_of_zero_and_null(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([1.0, 1.0], [2.0, 2.0]), (None, [1.0, 0.0])], "a array<double>, b array<double>")
     got = [r.x for r in df.select(vectors.cosine(F.col("a"), F.col("b")).alias("x")).collect()]
     assert got[0] == 0.0 and got[1] == pytest.approx(1.0) and got[2] is None
+
+
+def test_hash_embedding_value_for_value(spark):
+    texts = ["", None, "One two one", "é É naïve", "a " * 500, "x\ty\nz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in vectors.hash_embedding(df, "t", 16).collect():
+        words, v = (texts[r.i] or "").lower().split(), [0.0] * 16
+        for w in words:
+            h = zlib.crc32(w.encode())
+            v[h % 16] += 1 if h >> 16 & 1 else -1
+        norm = sum(x * x for x in v) ** 0.5
+        assert r.embedding == (pytest.approx([x / norm if norm else x for x in v]) if words else None)
