@@ -27,6 +27,7 @@ def test_fallback_for_queries_without_results(spark):
 
 def test_migration_between_databases(spark, tmp_path):
     """A table read in ranges of its key, vectors decoded from JSON text, written to another database and read back alike."""
+    spark._jvm.System.setProperty("derby.stream.error.file", f"{tmp_path}/derby.log")
     old, new = f"jdbc:derby:{tmp_path}/old;create=true", f"jdbc:derby:{tmp_path}/new;create=true"
     rows = [(i, f"title {i}", json.dumps([i / 2, 1.0])) for i in range(57)] + [(57, "", ""), (58, "x", "no vector")]
     spark.createDataFrame(rows, "id long, title string, embedding string").write.option("createTableColumnTypes", "title VARCHAR(80), embedding VARCHAR(200)").jdbc(old, "docs")
