@@ -96,6 +96,26 @@ def test_ranges_that_cannot_win_are_passed_over(spark, tmp_path, monkeypatch):
     assert answers(index.search(q, 3, prune=True)) == answers(keyword.bm25_top(frame(spark, rows), q, 3))
 
 
+def test_tasks_keep_the_best_of_their_groups(spark, tmp_path, monkeypatch):
+    """What leaves a task are k documents for a query and group, and those that could be taken for filling; pruning, several blocks of queries and negative scores change no answer."""
+    for name, value in (("RANGE", 8), ("GROUP", 2), ("QUERY_BLOCK", 3)):
+        monkeypatch.setattr(keyword_index, name, value)
+    rows = corpus_rows(9, range(200)) + [(-5, "w7 w3"), (-6, "the of and")]
+    index = KeywordIndex.build(frame(spark, rows, 2), f"file://{tmp_path}/i", 2)
+    assert 0 < index._read("postings", [0]).select("bucket", "term", "range").distinct().count() == index._read("postings", [0]).count()
+    q = spark.createDataFrame([(i, f"w{i} w{i % 5} the" if i % 2 else f"w{i % 7}") for i in range(30)], "query_id int, query string")
+    groups = index._read("docs", [0]).select(F.floor(F.col("range") / 2)).distinct().count()
+    best = index.best(q, 3, index.manifest(), -100)
+    assert groups > 9 and best.groupBy("query_id").count().agg(F.max("count")).head()[0] <= 3 * groups < len(rows)
+    assert best.count() < index.scores(q).count()
+    want = answers(keyword.bm25_top(frame(spark, rows), q, 3))
+    assert answers(index.search(q, 3)) == want and answers(index.search(q, 3, prune=True)) == want
+    few = rows[:1] + [(1, "a a b"), (2, "a"), (3, "a c"), (4, "a b"), (5, "a"), (6, "a")]  # words that most have: the mean idf is negative
+    small = KeywordIndex.build(frame(spark, few), f"file://{tmp_path}/j", 2)
+    q = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "b c")], "query_id int, query string")
+    assert answers(small.search(q, 2)) == answers(keyword.bm25_top(frame(spark, few), q, 2))
+
+
 def test_an_update_writes_its_share(spark, tmp_path):
     rows = corpus_rows(4, range(2000))
     index = KeywordIndex.build(frame(spark, rows), f"file://{tmp_path}/i", 4)
