@@ -20,6 +20,22 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def by_words(seeds: DataFrame, links: DataFrame, pages: DataFrame, depth: int) -> DataFrame:
+    """page_id and depth of what seeds reach in at most ``depth`` steps, where a link (a, w) leads to all pages (b, w) of its word.
+
+    A step goes from pages to their words and from each word once to its pages:
+    the edges, as many as links of a word times its pages, are never made.
+    """
+    frontier = seeds.select("page_id", F.lit(0).alias("depth")).distinct()
+    seen = frontier
+    for k in range(1, depth + 1):
+        words = links.join(frontier.select(F.col("page_id").alias("a")), "a", "left_semi").select("w").distinct()
+        reached = pages.join(words, "w", "left_semi").select(F.col("b").alias("page_id")).distinct()
+        frontier = reached.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(k))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def crawled(seeds: DataFrame, edges: DataFrame, folder: str, most: int = 1000) -> DataFrame:
     """page_id and depth of all that seeds reach over edges (a, b): work goes on until a step finds nothing new.
 

@@ -60,5 +60,4 @@ def crawl_frontier(spark, sf_dir):
     p = pages(spark, sf_dir)
     word = p.select("page_id", F.explode(html.links(F.col("html"), F.col("url"))).alias("link")).select(F.col("page_id").alias("a"), F.regexp_extract("link", r"^[^:]*://[^/]*/([^/?#]*)", 1).alias("w"))
     to = p.select(F.col("page_id").alias("b"), F.regexp_extract("html", r"<h1>([^ <]*)", 1).alias("w"))
-    edges = word.join(to, "w").select("a", "b").distinct()
-    return crawl.breadth_first(p.filter("page_id % 10 = 0").select("page_id"), edges, 2)
+    return crawl.by_words(p.filter("page_id % 10 = 0").select("page_id"), word, to, 2)

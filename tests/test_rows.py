@@ -133,3 +133,16 @@ def test_hash_embedding_value_for_value(spark):
             v[h % 16] += 1 if h >> 16 & 1 else -1
         norm = sum(x * x for x in v) ** 0.5
         assert r.embedding == (pytest.approx([x / norm if norm else x for x in v]) if words else None)
+
+
+def test_crawl_by_words_makes_no_edges(spark):
+    """The pages that all edges reach, where one word has most links and pages, without a join that has a row for each edge."""
+    pages = spark.createDataFrame([(i, "common" if i % 3 else f"w{i % 40}") for i in range(300)] + [(900, None), (901, "alone")], "b long, w string")
+    links = spark.createDataFrame([(i, "common" if i % 30 == 0 else f"w{(i * 7) % 50}") for i in range(300)] + [(1, None), (2, "alone")], "a long, w string")
+    seeds = spark.createDataFrame([(0,), (3,)], "page_id long")
+    edges = links.join(pages, "w").select("a", "b").distinct()
+    want = {r.page_id: r.depth for r in crawl.breadth_first(seeds, edges, 2).collect()}
+    df = crawl.by_words(seeds, links, pages, 2)
+    assert {r.page_id: r.depth for r in df.collect()} == want and set(want.values()) == {0, 1, 2}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "Join LeftSemi" in plan
