@@ -12,7 +12,7 @@ from quarry.sources.store import documents_index
 from quarry.sources.tables import LIBRARY_SQL, library, table
 
 from .registry import query
-from .retrieval import BM25, RELEVANCE, corpus, questions
+from .retrieval import BM25, RELEVANCE, corpus, questions, settled
 
 WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
 NOISE_SQL = " OR ".join(f"contains(l, '{p}')" for p in T.NOISE)
@@ -180,7 +180,7 @@ def query_dedup(spark, sf_dir):
 @query(f"""WITH {BM25}, t AS (SELECT query_id, doc_id, rank FROM bmtop WHERE rank <= 5)
 SELECT query_id, string_agg('[' || rank || '] Document ' || doc_id || ' - ' || source || ':' || chr(10) || left(text, 500), chr(10) || chr(10) ORDER BY rank) AS context FROM t JOIN documents USING (doc_id) GROUP BY query_id""")
 def context_build(spark, sf_dir):
-    top = documents_index(spark, sf_dir).search(questions(spark, sf_dir), 5).join(docs(spark, sf_dir), "doc_id")
+    top = settled(documents_index(spark, sf_dir).search(questions(spark, sf_dir), 5)).join(docs(spark, sf_dir), "doc_id")
     return context(top, 500, "\n\n")
 
 
@@ -196,7 +196,7 @@ def context(top: DataFrame, chars: int, between: str) -> DataFrame:
 def context_topn(spark, sf_dir):
     """The first five relevant results of each query, 300 characters of each."""
     q = questions(spark, sf_dir)
-    top = documents_index(spark, sf_dir).search(q, 20).join(q, "query_id").join(corpus(spark, sf_dir), "doc_id")
+    top = settled(documents_index(spark, sf_dir).search(q, 20).join(q, "query_id")).join(corpus(spark, sf_dir), "doc_id")
     top = top.filter(10 * fusion.lexical_relevance(F.col("query"), F.col("text")) >= 2.0)
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 5")
     return top.select("query_id", "doc_id", "rank", F.substring("text", 1, 300).alias("excerpt"))
@@ -210,7 +210,7 @@ c AS (SELECT query_id, string_agg('[' || rank || '] Document ' || doc_id || ' -
 SELECT query_id, {PROMPT_SQL} AS prompt FROM c JOIN q USING (query_id)""")
 def prompt_build(spark, sf_dir):
     q = questions(spark, sf_dir)
-    top = documents_index(spark, sf_dir).search(q, 3).join(docs(spark, sf_dir), "doc_id")
+    top = settled(documents_index(spark, sf_dir).search(q, 3)).join(docs(spark, sf_dir), "doc_id")
     return context(top, 300, "\n\n").join(q, "query_id").select("query_id", prompt("citation", F.col("query"), F.col("context")).alias("prompt"))
 
 
@@ -233,7 +233,7 @@ s AS (SELECT query_id, string_agg('[Source ' || rank || '] ' || title || ' (Page
 
 def sources(spark, sf_dir) -> DataFrame:
     """query_id and sources: title, source, section, page (the rank stands for one) and text of the first three results."""
-    top = documents_index(spark, sf_dir).search(questions(spark, sf_dir), 3).join(docs(spark, sf_dir), "doc_id")
+    top = settled(documents_index(spark, sf_dir).search(questions(spark, sf_dir), 3)).join(docs(spark, sf_dir), "doc_id")
     one = F.struct("rank", F.concat(F.lit("Document "), "doc_id").alias("title"), "source", F.col("source").alias("section"), F.col("rank").cast("string").alias("page"), F.substring("text", 1, 300).alias("text"))
     return top.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("sources"))
 

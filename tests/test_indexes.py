@@ -233,3 +233,26 @@ def test_recall_of_probes(spark, sf, size):
     want = {(r.query_id, r.vec_id) for r in registry.QUERIES["vector_topk"](spark, sf).collect()}
     got = {(r.query_id, r.vec_id) for r in registry.QUERIES["vector_probed"](spark, sf).collect()}
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_words_are_counted_as_spark_splits_them(spark, monkeypatch):
+    """Slices of a few bytes, white space of every kind (and what is none in Java), blank and null texts."""
+    monkeypatch.setattr(keyword_index, "SLICE_BYTES", 8)
+    texts = ["a\x0bb  B c\x1cd ", "\t\n", None, "", "Ä ä x \x0c\r y", "a a a", "x" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.dl, dict(zip(r.terms, r.tfs, strict=True))) for r in KeywordIndex._rows(rows).collect()}
+    w = rows.select("doc_id", keyword.tokens(F.col("text")).alias("w")).collect()
+    assert got == {r.doc_id: (len(r.w), dict(collections.Counter(r.w))) for r in w}
+
+
+def test_found_rows_are_broadcast_to_the_documents(spark, sf):
+    """What was found moves to the documents, not the documents to it, though these are too large to be broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        plan = registry.QUERIES["prompt_build"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    joins = [x for x in plan.split("\n") if "Join" in x and "doc_id" in x]
+    assert joins and all("BroadcastHashJoin" in x and "BuildLeft" in x for x in joins)
