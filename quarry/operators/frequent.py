@@ -35,9 +35,9 @@ MOST_CANDIDATES = 1 << 22
 U = np.uint64
 
 
-def hashed_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and w, the hashes of the words that count."""
-    return df.select(F.col(key).cast("long").alias("key"), F.transform(grams(F.col(text)), lambda x: F.xxhash64(x)).alias("w"))
+def hashed_words(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """key and w, the hashes of the words that count, and further columns."""
+    return df.select(F.col(key).cast("long").alias("key"), F.transform(grams(F.col(text)), lambda x: F.xxhash64(x)).alias("w"), *more)
 
 
 def gram_hashes(w: np.ndarray, row: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -159,8 +159,8 @@ def counted(words: DataFrame, candidates: np.ndarray, most: int) -> DataFrame:
     return each.groupBy("h").agg(F.sum("total").alias("total"), F.sum("df").alias("df"), F.min(F.struct("key", "place", "k")).alias("at"))
 
 
-def term_rows(words: DataFrame, terms: np.ndarray, most: int, then=None, schema: str = "key long, h long, n long") -> DataFrame:
-    """key, h and n: how often each row has each of these n-grams (sorted hashes); ``then`` makes of these batches, each of whole rows of ``words``, those of ``schema``."""
+def term_rows(words: DataFrame, terms: np.ndarray, most: int, then=None, schema: str = "key long, h long, n long", carry: str | None = None) -> DataFrame:
+    """key, h and n (and ``carry``, a column of ``words``): how often each row has each of these n-grams (sorted hashes); ``then`` makes of these batches, each of whole rows of ``words``, those of ``schema``."""
     shared = words.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
@@ -172,7 +172,9 @@ def term_rows(words: DataFrame, terms: np.ndarray, most: int, then=None, schema:
                 hit, place = look.hits(h)
                 found.append(row[at[hit]] * np.int64(len(c)) + place)
             pair, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[pair // max(len(c), 1)]), pa.array(c[pair % max(len(c), 1)].view(np.int64)), pa.array(n)], names=["key", "h", "n"])
+            of = pair // max(len(c), 1)
+            carried = [b.column(carry).take(pa.array(of))] if carry else []
+            yield pa.RecordBatch.from_arrays([pa.array(keys[of]), pa.array(c[pair % max(len(c), 1)].view(np.int64)), pa.array(n), *carried], names=["key", "h", "n", *[carry] * bool(carry)])
 
     return words.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 

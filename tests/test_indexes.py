@@ -256,3 +256,24 @@ def test_found_rows_are_broadcast_to_the_documents(spark, sf):
         spark.conf.set(key, before)
     joins = [x for x in plan.split("\n") if "Join" in x and "doc_id" in x]
     assert joins and all("BroadcastHashJoin" in x and "BuildLeft" in x for x in joins)
+
+
+@pytest.mark.parametrize("most,held", [(1 << 20, 40), (0, 1 << 22)])
+def test_pairs_are_scored_in_tasks(spark, monkeypatch, most, held):
+    """Scores of the pairs by tasks that hold few sums, and by joined terms, against sums of joined weights; no exchange of pairs."""
+    monkeypatch.setattr(tfidf, "MOST_ASKED", most)
+    monkeypatch.setattr(tfidf, "HELD", held)
+    rng = random.Random(7)
+    docs = [(i, " ".join(f"word{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.choice((0, 4, 40)))), 10 * i) for i in range(60)]
+    corpus = spark.createDataFrame(docs, "doc_id long, text string, size int").repartition(3)
+    asked = spark.createDataFrame([(i, f"word{i} word{i + 1} word{2 * i}") for i in range(9)], "query_id int, query string")
+    found = tfidf.tfidf_scores(corpus, asked, 200, 2, carry="size")
+    vocab = tfidf.counted_vocabulary(tfidf.with_grams(corpus, "doc_id", "text", 2), 200)
+    side = lambda df, key, text: tfidf.weights(tfidf.gram_rows(tfidf.with_grams(df, key, text, 2), key, vocab), vocab, key)
+    want = side(asked, "query_id", "query").withColumnRenamed("w", "qw").join(side(corpus, "doc_id", "text"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    want = {(r.query_id, r.doc_id): r.s for r in want.collect()}
+    got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-6)
+    assert all(r.size == 10 * r.doc_id for r in found.collect())
+    if most:
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
