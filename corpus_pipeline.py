@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at 0.8 on 5-word shingles, the one with the least doc_id stays; documents without words stay."""
     work.small_batches(spark)
-    documents, _ = ngram_join.ngram_join(docs, 5, 80)
+    documents, _ = ngram_join.ngram_join(docs, 5, 80, every=False)
     kept = documents.filter("doc_id = component_id").select("doc_id").distinct()
     out = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
     if not documents.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that repeat an id: the least text stays

@@ -17,7 +17,8 @@ different groups are compared with each other, in cells of ``CELL`` entries:
 in rounds, the closest pairs that would make one group of a cell, while that
 finds links, and then all pairs that are left.  So the
 groups are those that all links give, and every link that is returned was
-checked; links inside a group that nothing depends on are not looked for.
+checked; links inside a group that nothing depends on are looked for at the
+end, unless only groups are wanted.
 
 Sets are compared by 64-bit hashes of shingles.  Documents without words (null,
 empty or blank) link with nothing; an empty table gives no rows.  A node is a
@@ -446,12 +447,25 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.union, tables)
 
 
-def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def _every(near: DataFrame, entries: DataFrame, sets: DataFrame, tried: DataFrame, groups: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """a, b, doc_a and doc_b of all pairs that may be linked and were not tried, whatever their groups."""
+    swap = F.col("a") > F.col("b")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
+    led = near.select(either("a", "b"), either("b", "a"), either("doc_a", "doc_b"), either("doc_b", "doc_a")).join(tried, ["a", "b"], "left_anti")
+    # without groups each node is one of its own, so all members of a list meet, in cells
+    return led.unionByName(_candidates(_cells(entries, groups.filter("false")), sets, tried, percent, False, buckets)).distinct()
+
+
+def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of the join at ``percent`` / 100 on shingles of ``k`` words; both are written tables.
 
     documents: doc_id, n_shingles, class_id (least doc_id with the same set) and
-    component_id for each row; links: a, b, the classes (least doc_ids) of
-    checked links that connect every group.
+    component_id for each row; links: a, b, the classes (least doc_ids) of all
+    links between different sets, each checked on whole texts.
+
+    every: if false, links are only those that were needed to connect the
+    groups.  A group of n sets has up to n * n / 2 links; their pairs meet in
+    cells of bounded size.
     """
     scratch = work.Scratch(docs.sparkSession)
     first = scratch.written(_first_pass(docs, k), "sets")
@@ -467,7 +481,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFram
     groups = components(links[0])
     rest = scratch.written(_across(near.join(tried, ["a", "b"], "left_anti"), groups), "pairs")
     links.append(scratch.written(linked(rest, texts, k, percent), "links"))
-    scratch.drop(near, texts)
+    scratch.drop(*([texts] if every else [near, texts]))
     groups = components(_union(links))
     tried = tried.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     entries = _rows(lists.filter("kind = 1"), ["key", "sig", "n", "pos", "lo", "hi"])
@@ -485,6 +499,11 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFram
         if not closest:
             break
         closest = found  # once the closest pairs give no link, all that are left are looked at
+    if every:
+        # many small buckets: pairs grow with the square of a group
+        pairs = scratch.written(_every(near, entries, sets, tried, groups, percent, 16 * work.buckets(docs)), "pairs")
+        texts = _texts(docs, pairs, scratch)
+        links.append(scratch.written(linked(pairs, texts, k, percent), "links"))
     of = sets.select("sig", "doc").join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     # a group goes by its least doc_id
     of = of.join(of.groupBy("root").agg(F.min("doc").alias("least")), "root").select("sig", "doc", "least")
@@ -501,5 +520,5 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFram
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of ``documents`` linked at 0.9 on 3-word shingles."""
-    documents, _ = ngram_join(work.read_documents(spark, sf_dir), 3, 90)
+    documents, _ = ngram_join(work.read_documents(spark, sf_dir), 3, 90, every=False)
     return documents.select("doc_id", "n_shingles", "component_id", "class_id")

@@ -53,3 +53,17 @@ def test_groups_of_mutated_copies(spark, seed, k, percent, partitions):
     documents, found = ngram_join.ngram_join(docs, k, percent)
     assert {r.doc_id: r.component_id for r in documents.collect()} == want
     assert {(r.a, r.b) for r in found.collect()} <= links
+
+
+@pytest.mark.parametrize("seed,k,percent,cell", [(5, 3, 90, 1024), (6, 5, 80, 8)])
+def test_every_link_between_different_sets(spark, monkeypatch, seed, k, percent, cell):
+    """All links, those inside groups too, with lists that fall into many cells; copies are one class."""
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    texts = family_texts(seed, k, percent, families=4, size=12)
+    rows = list(enumerate(texts + [texts[0], "", "two words"]))
+    want, links = brute_force(rows, k, percent)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    documents, found = ngram_join.ngram_join(docs, k, percent)
+    copy = len(texts)
+    assert {(r.a, r.b) for r in found.collect()} == {x for x in links if copy not in x}
+    assert {r.doc_id: r.component_id for r in documents.collect()} == want
