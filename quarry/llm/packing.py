@@ -151,6 +151,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool) ->
                     seen[cls] += 1
             kinds = (pa.int64(),) * 5 + (pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        encoder.release()
 
     return work.texts(docs).mapInArrow(run, PIECES)
 

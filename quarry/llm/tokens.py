@@ -9,7 +9,7 @@ from array import array
 
 import numpy as np
 
-from . import blocks
+from . import blocks, work
 
 #: Entries of a worker's cache of encoded words; it is emptied when full.
 CACHE_WORDS = 500_000
@@ -70,6 +70,12 @@ class WordEncoder:
             cls._of[key] = cls(path, spaced)
         return cls._of[key]
 
+    def release(self) -> None:
+        """Forget the words met so far and give their memory back: a worker that waits for another stage holds none of it."""
+        self.known, self.parts = Known(self), {}
+        self.words.clear()
+        work.give_back()
+
     def pieces(self, text: bytes) -> list[bytes]:
         """Pieces whose ids, one after the other, are the ids of the text."""
         if not self.spaced:

@@ -53,3 +53,16 @@ def test_odd_columns(spark, sf):
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_an_encoder_gives_its_words_back():
+    """After a task nothing of its words stays in the worker, and the next task gets the same ids."""
+    from quarry.llm import tokens
+
+    encoder = tokens.WordEncoder.of(tokens.vocabulary("word_bpe_49k.json"), False)
+    texts = [b"Some words, some (other) words", b"caf\xc3\xa9 word"]
+    first = encoder.encode(texts, 1)
+    assert encoder.known and encoder.parts
+    encoder.release()
+    assert not (encoder.known or encoder.known.older or encoder.parts or len(encoder.words.name))
+    assert encoder.encode(texts, 1) == first
