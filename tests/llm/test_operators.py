@@ -301,6 +301,22 @@ def test_passage_of_frequent_lines(spark, partitions):
     assert got[13].spans == [8, 80] and got[13].first_docs == [6]
 
 
+@pytest.mark.parametrize("before, after, partitions", [(1, 1, 1), (1, 1, 7), (40, 40, 3), (1, 80, 3)])
+def test_near_passage_of_a_document_in_between(spark, before, after, partitions):
+    """All seeds of a near passage stand in earlier and in later documents too, up to frequent ones, so that neither a seed's first document nor the one before has the passage."""
+    rng = random.Random(before)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(72)
+    alone = lambda: [own(25) + passage[a : a + 13] + own(25) for a in range(0, 72, 6)]
+    again = [own(1)[0] if j % 12 == 11 else w for j, w in enumerate(passage)]
+    texts = [w for _ in range(before) for w in alone()] + [own(30) + passage + own(30)] + [w for _ in range(after) for w in alone()] + [own(20) + again + own(20)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(partitions)
+    got = by_id(passage_dedup.repeated_passages(docs))
+    last = len(texts) - 1
+    assert all(r.n_removed == 0 for i, r in got.items() if i != last) and len(got) == len(texts)
+    assert got[last].first_docs == [12 * before] and got[last].spans == [20, 91]
+
+
 @pytest.mark.parametrize("percent", [85, 90, 95])
 def test_recall_of_near_passages(spark, percent):
     """Passages in which so many words agree are found in nine of ten cases, and no other word goes."""
