@@ -116,6 +116,34 @@ def test_tasks_keep_the_best_of_their_groups(spark, tmp_path, monkeypatch):
     assert answers(small.search(q, 2)) == answers(keyword.bm25_top(frame(spark, few), q, 2))
 
 
+def test_what_a_search_shuffles_does_not_grow_with_groups(spark, tmp_path, monkeypatch):
+    """A task gives on k documents for a query, however many groups it meets; held in parts, beyond what is broadcast and with negative scores the answers are the same."""
+    for name, value in (("RANGE", 4), ("GROUP", 1), ("QUERY_BLOCK", 7)):
+        monkeypatch.setattr(keyword_index, name, value)
+    rows = corpus_rows(9, range(400)) + [(-5, "w7 w3"), (-6, "the of and")]
+    index = KeywordIndex.build(frame(spark, rows, 2), f"file://{tmp_path}/i", 2)
+    q = spark.createDataFrame([(i, f"w{i} w{i % 5} the" if i % 2 else f"w{i % 7}") for i in range(30)], "query_id int, query string")
+    groups = index._read("docs", [0]).select("range").distinct().count()
+    best = index.best(q, 3, index.manifest(), -100)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert best.groupBy("query_id").count().agg(F.max("count")).head()[0] <= 3 * parts < groups
+    want = answers(keyword.bm25_top(frame(spark, rows), q, 3))
+    assert answers(index.search(q, 3)) == want
+    for chars, held in ((0, 1 << 21), (0, 90), (1 << 20, 40)):  # paired by Spark, with several partitions of queries, and given on again and again
+        monkeypatch.setattr(keyword_index, "BROADCAST_CHARS", chars)
+        monkeypatch.setattr(keyword_index, "HELD", held)
+        assert answers(index.search(q, 3)) == want and answers(index.search(q, 3, prune=True)) == want
+    monkeypatch.setattr(keyword_index, "FEW_CHARS", 0)  # groups of stored documents
+    for chars in (0, 1 << 20):
+        monkeypatch.setattr(keyword_index, "BROADCAST_CHARS", chars)
+        assert answers(index.search(q, 3)) == want
+    assert not any("/postings/" in f for f in index.best(q, 3, index.manifest(), -100).inputFiles())
+    few = rows[:1] + [(1, "a a b"), (2, "a"), (3, "a c"), (4, "a b"), (5, "a"), (6, "a")]
+    small = KeywordIndex.build(frame(spark, few), f"file://{tmp_path}/j", 2)
+    q = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "b c")], "query_id int, query string")
+    assert answers(small.search(q, 2)) == answers(keyword.bm25_top(frame(spark, few), q, 2))
+
+
 def test_an_update_writes_its_share(spark, tmp_path):
     rows = corpus_rows(4, range(2000))
     index = KeywordIndex.build(frame(spark, rows), f"file://{tmp_path}/i", 4)
