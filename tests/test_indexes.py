@@ -144,6 +144,14 @@ def test_what_a_search_shuffles_does_not_grow_with_groups(spark, tmp_path, monke
     assert answers(small.search(q, 2)) == answers(keyword.bm25_top(frame(spark, few), q, 2))
 
 
+def test_excerpts_are_cut_before_they_meet_conversations(spark, sf):
+    plan = registry.QUERIES["chat_context_batch"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    join = next(i for i, x in enumerate(lines) if "Join Inner, (doc_id" in x or ("Join Inner" in x and "doc_id" in x))
+    cut = next(i for i, x in enumerate(lines) if "substring(text" in x)
+    assert cut > join
+
+
 def test_an_update_writes_its_share(spark, tmp_path):
     rows = corpus_rows(4, range(2000))
     index = KeywordIndex.build(frame(spark, rows), f"file://{tmp_path}/i", 4)
